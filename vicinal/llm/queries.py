@@ -8,7 +8,7 @@ from math import ceil
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinal.llm import chat, license, media, mixing
+from vicinal.llm import chat, license, linededup, media, mixing, neardup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest.alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = media.media_features(media.to_media(_table(spark, sf_dir, "documents")))
     return f.withColumn("feature", F.lower(F.hex("low_hash"))).drop("low_hash")
@@ -38,11 +42,17 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op10_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("removed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op5_format_chat": op5_format_chat,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_media_columns": op7_media_columns,
     "op9_license_scan": op9_license_scan,
+    "op10_dedup_lines": op10_dedup_lines,
 }
 
 _OP1 = """
