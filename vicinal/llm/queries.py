@@ -8,7 +8,7 @@ from math import ceil
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinal.llm import chat, license, linededup, media, mixing, neardup
+from vicinal.llm import chat, langid, license, linededup, media, mixing, neardup, packing, pii, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,27 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file, where the installed package has it on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    d = langid.identify(docs, langid.fit(docs))
+    return d.withColumn("held_out", langid.held_out(F.col("doc_id")))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(_table(spark, sf_dir, "documents"))
+
+
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-7, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
@@ -38,6 +59,11 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.withColumn("feature", F.lower(F.hex("low_hash"))).drop("low_hash")
 
 
+def op8_pseudonymize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = pii.pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), key="documents-1")
+    return d.select("doc_id", F.size("pii").cast("long").alias("n_pii"), F.array_join(F.array_sort(F.array_distinct(F.transform("pii", lambda x: x["kind"]))), ",").alias("kinds"), "text")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -48,9 +74,13 @@ def op10_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_identify_language": op2_identify_language,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_pack": op4_pack,
     "op5_format_chat": op5_format_chat,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_media_columns": op7_media_columns,
+    "op8_pseudonymize": op8_pseudonymize,
     "op9_license_scan": op9_license_scan,
     "op10_dedup_lines": op10_dedup_lines,
 }
