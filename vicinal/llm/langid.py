@@ -7,7 +7,7 @@ trained here, in numpy, by backpropagation through time on a bounded sample of l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -213,17 +213,22 @@ def sample(docs: DataFrame, rows: int = SAMPLE, excerpts: int = EXCERPTS) -> lis
     return [(lang, x) for lang, _, xs in got for x in xs if x]
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, lang_pred, score) from (doc_id, text), for each row over its whole text; ``und`` and 0 without a letter or a model.
 
-    Only the text goes into a prediction. Other columns are left out.
+    Only the text goes into a prediction. The columns ``keep`` are passed through, others are left out.
     """
-    has = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) if model else F.lit(False)
-    text = F.when(has, F.col("text")).otherwise(F.lit("-")).alias("text")
     if model is None:
-        return docs.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    out = docs.select("doc_id", text, has.alias("_has")).mapInArrow(lambda it: _predicted(it, model), "doc_id long, lang_pred string, score double, _has boolean")
-    return out.select("doc_id", F.when(F.col("_has"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("_has"), F.col("score")).otherwise(0.0).alias("score"))
+        return docs.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *keep)
+    has = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    read = F.when(has, F.col("text")).otherwise("-")
+    kept = [c for c in keep if c != "text"]
+    types = dict(docs.dtypes)
+    schema = ", ".join(["doc_id long, lang_pred string, score double, _has boolean", *(["_text string"] if "text" in keep else []), *[f"`{c}` {types[c]}" for c in kept]])
+    d = docs.select("doc_id", read.alias("_read"), has.alias("_has"), *([F.col("text").alias("_text")] if "text" in keep else []), *kept)
+    out = d.mapInArrow(lambda it: _predicted(it, model), schema)
+    seen = [F.when(F.col("_has"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("_has"), F.col("score")).otherwise(0.0).alias("score")]
+    return out.select("doc_id", *seen, *[F.col("_text").alias("text") if c == "text" else c for c in keep])
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE, excerpts: int = EXCERPTS) -> Model | None:

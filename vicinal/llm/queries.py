@@ -72,6 +72,12 @@ def op10_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("removed")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_identify_language": op2_identify_language,
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pseudonymize": op8_pseudonymize,
     "op9_license_scan": op9_license_scan,
     "op10_dedup_lines": op10_dedup_lines,
+    "pipeline": pipeline,
 }
 
 _OP1 = """
