@@ -40,9 +40,17 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def spool(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, keeps columns prunable, survives lost executors."""
-    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, keeps columns prunable, survives lost executors.
+
+    Its shuffle files go when the table is written, instead of when the driver happens to collect its garbage.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", conf.get(key)
+    conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,8 +2,9 @@
 
 Documents with one shingle set are one node from the start, so copies never meet in pairs. Nodes that share a band meet in two
 steps. First each is compared with its bucket's smallest node, which joins the members of true groups at the price of one
-comparison each. Then, in buckets whose members are still in different components, all pairs across components are compared, dealt
-out in square blocks. So no bucket is capped, and no link between nodes of one bucket is lost. Links hold on the whole sets.
+comparison each. Then, in buckets whose members are still in different components, those outside the bucket's largest component
+are compared with all, dealt out in blocks; a block's overlaps are one matrix product, and only links come out of it. So no bucket
+is capped, and no link between nodes of one bucket is lost. Links hold on the whole sets.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ BANDS, ROWS = 32, 4  # a pair of similarity 0.75 shares no band with probability
 SEED = 20240229
 #: Signatures agreeing in fewer places than this belong to pairs under the threshold: 6 standard deviations below it.
 SLACK = 6
-BLOCK = 64
+#: Shingles in a block of documents that are compared with another block's at once.
+BLOCK = 60_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -146,6 +148,35 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids, _lists([x.view(np.int64) for x in s.sets(texts)], pa.int64())], names=["id", "set"])
 
 
+def _across(table: pa.Table, percent: int) -> pa.Table:
+    """Links between the two sides of a block, between different components so far, by whole sets.
+
+    Overlaps are products of incidence matrices over the shingles that both sides have.
+    """
+    order = np.argsort(table["side"].to_numpy(), kind="stable")
+    table = table.take(pa.array(order))
+    ids, roots = table["id"].to_numpy(), table["root"].to_numpy()
+    cut = int((table["side"].to_numpy() == 0).sum())
+    lists = table["set"].combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    values, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), sizes)
+    shared = np.intersect1d(values[row < cut], values[row >= cut])
+    at = np.searchsorted(shared, values)
+    at[at == len(shared)] = 0
+    on = shared[at] == values if len(shared) else np.zeros(len(values), bool)
+    row, at = row[on], at[on]
+    both = np.zeros((cut, len(ids) - cut), np.float32)
+    for first in range(0, len(shared), 2048):
+        some = (at >= first) & (at < first + 2048)
+        m = np.zeros((len(ids), 2048), np.float32)
+        m[row[some], at[some] - first] = 1
+        both += m[:cut] @ m[cut:].T
+    union = sizes[:cut, None] + sizes[None, cut:] - both
+    a, b = np.nonzero((both * 100 >= union * percent) & (roots[:cut, None] != roots[None, cut:]))
+    a, b = ids[a], ids[cut + b]
+    return pa.table({"u": np.minimum(a, b), "v": np.maximum(a, b)})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root), root the smallest node of the component, for the nodes of ``edges`` (u, v) of longs.
 
@@ -194,8 +225,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signed = spool(docs.mapInArrow(_signed, "doc_id long, n_shingles long, key binary, sig array<int>"), "signatures")
     classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     nodes = spool(classes, "nodes")
-    bands = nodes.select("id", F.explode(F.array(*[F.xxhash64(F.lit(k), *[F.get("sig", F.lit(k * ROWS + i)) for i in range(ROWS)]) for k in range(BANDS)])).alias("band"))
-    buckets = bands.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("_last"), F.count("*").alias("c")).filter("lead < _last").drop("_last")
+    bands = nodes.select("id", "n", F.explode(F.array(*[F.xxhash64(F.lit(k), *[F.get("sig", F.lit(k * ROWS + i)) for i in range(ROWS)]) for k in range(BANDS)])).alias("band"))
+    buckets = bands.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("_last")).filter("lead < _last").drop("_last")
     members = spool(bands.join(buckets, "band"), "buckets")
     ids = members.select("id").distinct()
     near = spool(nodes.select("id", "n", "sig").join(ids, "id", "left_semi"), "candidates")
@@ -204,16 +235,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stars = spool(_linked(members.filter("id != lead").select(F.col("lead").alias("u"), F.col("id").alias("v")).distinct(), near, sets, percent), "links")
     roots = components(stars)
 
-    placed = members.join(roots, members["id"] == roots["node"], "left").select("band", "id", "lead", "c", F.coalesce("root", "id").alias("root"))
-    torn = placed.groupBy("band").agg(F.min("root").alias("_a"), F.max("root").alias("_z")).filter("_a < _z").select("band")
-    left = placed.join(torn, "band", "left_semi").filter("id != lead").join(near.select("id", "n"), "id")
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    left = spool(left.withColumns({"_blocks": blocks, "_own": F.pmod(F.xxhash64("id"), blocks).cast("int")}), "torn")
-    a = left.select("band", F.col("_own").alias("i"), F.explode(F.sequence("_own", F.col("_blocks") - 1)).alias("j"), F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    b = left.select("band", F.explode(F.sequence(F.lit(0), "_own")).alias("i"), F.col("_own").alias("j"), F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    pairs = a.join(b, ["band", "i", "j"]).filter((F.col("ra") != F.col("rb")) & ((F.col("i") != F.col("j")) | (F.col("a") < F.col("b"))) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
-    pairs = pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    across = spool(_linked(pairs, near, sets, percent), "links")
+    placed = members.join(roots, members["id"] == roots["node"], "left").select("band", "id", "n", F.coalesce("root", "id").alias("root"))
+    parts = placed.groupBy("band", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    torn = parts.groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("_parts"), (F.sum("n") - F.max_by("n", F.struct("c", "root"))).alias("rest")).filter("_parts > 1")
+    left = placed.join(torn, "band").join(sets, "id")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("id"), blocks(c)).cast("int")
+    every = lambda c: F.sequence(F.lit(0), blocks(c) - 1)
+    met = F.concat(F.transform(every("rest"), lambda j: F.struct(F.lit(0).alias("side"), own("all").alias("i"), j.alias("j"))), F.when(F.col("root") != F.col("main"), F.transform(every("all"), lambda i: F.struct(F.lit(1).alias("side"), i.alias("i"), own("rest").alias("j")))).otherwise(F.array().cast("array<struct<side:int,i:int,j:int>>")))
+    left = left.select("band", "id", "root", "set", F.explode(met).alias("m")).select("band", "m.*", "id", "root", "set")
+    across = spool(left.groupBy("band", "i", "j").applyInArrow(lambda t: _across(t, percent), "u long, v long").distinct(), "links")
     roots = components(stars.unionByName(across)) if across.take(1) else roots
 
     groups = nodes.select("key", "id").join(roots, nodes["id"] == roots["node"], "left").select("key", F.coalesce("root", "id").alias("component"))
