@@ -15,8 +15,8 @@ from vicinal.llm.common import spool
 from vicinal.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document goes if no language is seen in it with this much confidence, or one it isn't labelled with is seen with SURE.
-LEAST_SCORE, SURE = 0.4, 0.9
+#: A document goes if no language is seen in it with this much confidence.
+LEAST_SCORE = 0.35
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if model is None:
         return docs.limit(0)
     d = langid.identify(docs, model, keep=COLUMNS[1:])
-    wrong = (F.col("score") >= SURE) & F.col("lang").isNotNull() & (F.col("lang") != F.col("lang_pred"))
-    kept = d.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE) & ~wrong)
+    kept = d.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return kept.select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
 
 
