@@ -1,0 +1,98 @@
+import random
+import re
+from collections import Counter
+
+import numpy as np
+
+from tests.llm.data import SCHEMA, prose, rows
+from vicinal.llm.quality import CONSISTENCY, CUTOFF, FLOORS, PRIOR, SHARE, base_statistics, quality_rules
+
+
+def base(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    seen = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    covered = set()
+    for i in range(len(w) - 7):
+        if seen[tuple(w[i : i + 8])] > 1:
+            covered.update(range(i, i + 8))
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), len(w) < 20 or 100 * len(covered) > 30 * len(w)
+
+
+COLS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def more():
+    rng = random.Random(6)
+    out = []
+    for i in range(30):
+        w = prose(rng, 4).split(" ")
+        at = rng.randrange(len(w))
+        out.append(" ".join(w[:at] + w[max(0, at - rng.randint(5, 30)) : at] + w[at:]))
+    return out + ["a " * 7, "a " * 8, "a " * 9, "a b " * 12, "x\nx\n \nx\n\n", "#*$%&|<> a", "\n\n\n"]
+
+
+def test_base_equals_brute_force(spark):
+    data = [r[:2] for r in rows()] + [(1000 + i, t) for i, t in enumerate(more())]
+    d = spark.createDataFrame([(*x, None, None, "c") for x in data], "doc_id long, text string, lang string, source string, s string")
+    got = {r["doc_id"]: tuple(r[c] for c in COLS) for r in base_statistics(d).collect()}
+    assert got == {i: base(t) for i, t in data}
+
+
+def mcd(v):
+    """Concentration steps by sorting, from medians and interquartile ranges; no histograms."""
+    lo, mid, hi = np.quantile(v, [0.25, 0.5, 0.75], axis=0)
+    m, s = mid, np.diag(((hi - lo) / 1.349) ** 2 + np.array(FLOORS) ** 2)
+    for _ in range(3):
+        d = np.einsum("ij,jk,ik->i", v - m, np.linalg.inv(s), v - m)
+        core = v[d <= np.quantile(d, SHARE)]
+        m, s = core.mean(axis=0), np.cov(core.T, bias=True) * CONSISTENCY + np.diag(np.array(FLOORS) ** 2)
+    return np.einsum("ij,jk,ik->i", v - m, np.linalg.inv(s), v - m)
+
+
+def corpus(n=400):
+    rng = random.Random(9)
+    out = []
+    for i in range(n):
+        text = prose(rng, rng.randint(4, 9))
+        if i % 12 == 5:
+            text = re.sub(r" ", "%%% ", text)
+        if i % 12 == 9:
+            text = text.upper().replace(" ", "!!!! ")
+        out.append((i, text, "en", "s", len(text)))
+    return out
+
+
+def test_outliers_equal_a_plain_estimate(spark):
+    data = corpus()
+    out = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame(data, SCHEMA)).collect()}
+    b = np.array([base(r[1])[:5] for r in data], float)
+    n = b[:, 0] + PRIOR
+    v = np.stack([np.log((b[:, 1] + 5 * PRIOR) / n), np.sqrt(b[:, 2] / n), np.sqrt(b[:, 4] / n), np.sqrt(b[:, 3] / n)], axis=1)
+    d = mcd(v)
+    for i, x in enumerate(d):
+        assert abs(out[i]["distance2"] - x) < 0.1 * x + 0.5
+        assert out[i]["kept"] == (x <= CUTOFF) or abs(x - CUTOFF) < 3
+    assert not any(out[i]["kept"] for i in range(400) if i % 12 == 5)
+    assert all(out[i]["kept"] for i in range(400) if i % 12 not in (5, 9))
+
+
+def test_groups_are_apart_and_order_does_not_matter(spark):
+    data = [(i, t, lang, source, n) for i, t, _, _, n in corpus(240) for lang, source in [((None, "fr")[i % 2], (None, "q", "r")[i % 3])]]
+    a = {tuple(r) for r in quality_rules(spark.createDataFrame(data, SCHEMA)).collect()}
+    b = {tuple(r) for r in quality_rules(spark.createDataFrame(data[::-1], SCHEMA).repartition(9)).collect()}
+    assert a == b and len(a) == 240
+
+
+def test_few_documents_repeats_and_empty_table(spark):
+    text = "some words " * 3 + " ".join(f"w{i}" for i in range(40))
+    d = spark.createDataFrame([(1, text, "en", "a", 1)] * 3 + [(2, None, None, None, None), (None, "", "en", "a", 0)], SCHEMA)
+    assert sorted((str(r["doc_id"]), r["kept"]) for r in quality_rules(d).collect()) == [("1", True)] * 3 + [("2", False), ("None", False)]
+    assert quality_rules(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_labelled_good_documents_stay(spark):
+    q = quality_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
+    assert q.filter("quality = 1 and not base_failed and not kept").count() == 0
+    assert q.filter("quality = 0 and kept").count() < 0.3 * q.filter("quality = 0").count() + 3
