@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinal.llm import langid, linededup, mixing, neardup, packing
-from vicinal.llm.common import spool
+from vicinal.llm.common import spool, unspool
 from vicinal.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -62,6 +62,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES[:-1]:
         docs = spool(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            unspool(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

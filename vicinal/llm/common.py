@@ -51,7 +51,16 @@ def spool(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         conf.set(key, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._spooled_at = path
+    return out
+
+
+def unspool(df: DataFrame) -> None:
+    """Delete what ``spool`` wrote, once nothing that is still to be computed reads it."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._spooled_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def prefix_sums(df: DataFrame, keys: Sequence[str], block: Sequence[str], order: Sequence[Column], measure: Column, out: str, extra: DataFrame | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import ship, spool
+from vicinal.llm.common import ship, spool, unspool
 
 WIDTH = 5
 PERCENT = 75
@@ -192,7 +192,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = spool(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, e = e, spool(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        unspool(last)
         after = state(e)
         if after == before:
             break
@@ -246,6 +247,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     left = left.select("band", "id", "root", "set", F.explode(met).alias("m")).select("band", "m.*", "id", "root", "set")
     across = spool(left.groupBy("band", "i", "j").applyInArrow(lambda t: _across(t, percent), "u long, v long").distinct(), "links")
     roots = components(stars.unionByName(across)) if across.take(1) else roots
+    for table in (members, near, sets, stars, across):
+        unspool(table)
 
     groups = nodes.select("key", "id").join(roots, nodes["id"] == roots["node"], "left").select("key", F.coalesce("root", "id").alias("component"))
     out = signed.select("doc_id", "n_shingles", "key").join(groups, "key", "left")
