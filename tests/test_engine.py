@@ -76,10 +76,10 @@ def test_vectors_and_quantization(spark, payloads):
 
 
 def test_quantize_and_clamp_at_the_edges(spark):
-    xs = [-1.0, 1.0, 1.7, -2.0, 0.00005, -0.00005, 0.00015, 0.5, float("nan")]
+    xs = [-1.0, 1.0, 1.7, -2.0, 0.00005, -0.00005, 0.00025, 0.5, float("nan")]
     rows = spark.createDataFrame([(x,) for x in xs], "x double").select(F.when(~F.isnan("x"), quantize(F.col("x"))), clamp(F.col("x")), F.when(~F.isnan("x"), quantize_int8(F.least(F.abs("x"), F.lit(1.0)) * 0.5))).collect()
-    assert [r[0] for r in rows] == [-10000, 10000, 10000, -10000, 1, -1, 2, 5000, None]
-    assert [r[1] for r in rows] == [0, 1, 1, 0, 0.00005, 0, 0.00015, 0.5, 0]
+    assert [r[0] for r in rows] == [-10000, 10000, 10000, -10000, 1, -1, 3, 5000, None]
+    assert [r[1] for r in rows] == [0, 1, 1, 0, 0.00005, 0, 0.00025, 0.5, 0]
     assert rows[1][2] == 0 and rows[4][2] == -127
 
 
