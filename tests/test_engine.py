@@ -151,12 +151,13 @@ def test_fewer_references_than_neighbours(spark, n, approved, score):
         assert (r["frauds"], r["approved"], r["fraud_score"]) == (n, approved, score)
 
 
-def test_many_queries_take_the_join(spark, monkeypatch):
+def test_many_queries_go_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(knn, "BROADCAST_BYTES", 1000)
     refs = generators.points(spark, 300)
     queries = generators.queries(refs, 60)
-    got = {(r["query_id"], r["ref_id"]) for r in knn.neighbours_blocked(refs, queries).collect()}
-    assert got == {(r["query_id"], r["ref_id"]) for r in knn.neighbours(refs, queries).collect()}
+    want = {(q, r[0]) for q, rs in brute(refs.collect(), queries.collect()).items() for r in rs}
+    for plan in (knn.neighbours_blocked, knn.neighbours):
+        assert {(r["query_id"], r["ref_id"]) for r in plan(refs, queries).collect()} == want
 
 
 def test_verdict_json(spark):

@@ -1,7 +1,7 @@
 """The k nearest labelled references of each query, exactly, and the vote over them.
 
 Order is total everywhere: distance, then label, then ref_id. Four plans give it. ``neighbours`` is declarative: queries are
-broadcast and references stream by, each task keeping k for a query before the shuffle. ``neighbours_blocked`` does the same with
+broadcast in blocks and references stream by, each task keeping k for a query before the shuffle. ``neighbours_blocked`` does the same with
 a matrix product for each batch of references; a batch whose box is farther than what a query has found is skipped.
 ``neighbours_pruned`` looks into a query's own partition first, and into those others whose box is no farther than the k-th distance found.
 ``neighbours_fast`` skips the others where k references are within a radius; it can differ from the exact result.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator, Sequence
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +41,19 @@ def _renamed(queries: DataFrame, dims: Sequence[str]) -> DataFrame:
 
 
 def neighbours(refs: DataFrame, queries: DataFrame, k: int = K, dims: Sequence[str] = Q, kind: str = "bigint") -> DataFrame:
-    """(query_id, ref_id, label, d2, rank) from refs (ref_id, label, dims) and a stated set of queries (query_id, dims) that fits a broadcast."""
+    """(query_id, ref_id, label, d2, rank) from refs (ref_id, label, dims) and a stated set of queries (query_id, dims).
+
+    The queries are counted first and go to the tasks in blocks of 32 MB at most, each of which meets all references.
+    """
     q = _renamed(queries, dims)
-    pairs = refs.select("ref_id", "label", *dims).join(F.broadcast(q), how="cross")
-    return _top(pairs.select("query_id", "ref_id", "label", squared(dims, [f"{c}_q" for c in dims], kind).alias("d2")), k)
+    n = max(1, ceil(q.count() * 8 * (len(dims) + 1) / BROADCAST_BYTES))
+    found = None
+    for i in range(n):
+        block = q if n == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
+        pairs = refs.select("ref_id", "label", *dims).join(F.broadcast(block), how="cross")
+        top = _top(pairs.select("query_id", "ref_id", "label", squared(dims, [f"{c}_q" for c in dims], kind).alias("d2")), k)
+        found = top if found is None else found.unionByName(top)
+    return found
 
 
 def _kernel(batches: Iterator[pa.RecordBatch], ids: np.ndarray, points: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
