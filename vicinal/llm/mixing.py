@@ -3,7 +3,7 @@
 Every document of a source has the same expected number of copies, target over source size. Within a source the
 expected copies are prefix-summed in fixed point, one random offset per source is added, and a document is emitted once for each
 integer that its interval crosses. Documents are ordered by size class first, so that the sample has each class's share and
-the words taken come near the target.
+the words taken come near the target; of equally spaced turns of the offset, the one that comes nearest is used.
 """
 
 from __future__ import annotations
@@ -13,11 +13,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import n_words
+from vicinal.llm.common import n_words, spool
 
 #: Expected copies are held as multiples of 2**-24: prefix sums are exact for 1e11 documents of one source.
 UNIT = 24
 WEIGHTS = (5, 2, 1)
+#: The random offset is turned by so many equal steps, and the turn that takes the words nearest to the target is used.
+TURNS = 64
+_BLOCK = ("_source", "_class", "_part")
 
 
 def _key(source: Column) -> Column:
@@ -53,16 +56,25 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = 3, sh
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     bits = F.bin("size")
     d = docs.withColumn("size", n_words(F.col("text"))).withColumns({"_source": _key(F.col("source")), "_digest": digest, "_class": F.length(bits) * 1000 + F.substring(F.concat(bits, F.lit("000")), 1, 3).cast("int"), "_part": F.substring(digest, 1, 2)})
-    blocks = d.groupBy("_source", "_class", "_part").agg(F.count("*").alias("_n"), F.sum("size").alias("_words"))
+    narrow = spool(d.select("doc_id", "size", *_BLOCK, "_digest"), "sizes")
+    blocks = narrow.groupBy(*_BLOCK).agg(F.count("*").alias("_n"), F.sum("size").alias("_words"))
     targets = source_targets(blocks.groupBy("_source").agg(F.sum("_words").alias("source_size")), weights, cap, share)
     rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * float(1 << UNIT))).otherwise(0).cast("long")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "_source")), 1, UNIT // 4), 16, 10).cast("long")
     before = Window.partitionBy("_source").orderBy("_class", "_part").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n", "_words")
-    blocks = blocks.join(targets, "_source").withColumns({"_rate": rate, "_offset": offset})
-    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_source", "_class", "_part").orderBy("_digest", "doc_id", "size"))
-    upto = lambda k: F.shiftright(F.col("_rate") * k + F.col("_offset"), UNIT)
-    d = d.join(blocks, ["_source", "_class", "_part"]).withColumn("_rank", rank).withColumn("copies", upto(F.col("_rank")) - upto(F.col("_rank") - 1))
+    blocks = spool(blocks.join(targets, "_source").withColumns({"_rate": rate, "_offset": offset}), "blocks")
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy(*_BLOCK).orderBy("_digest", "doc_id", "size"))
+
+    def copies(start: Column) -> Column:
+        upto = lambda k: F.shiftright(F.col("_rate") * k + start, UNIT)
+        return upto(F.col("_rank")) - upto(F.col("_rank") - 1)
+
+    turned = [(F.col("_offset") + j * ((1 << UNIT) // TURNS)) % (1 << UNIT) for j in range(TURNS)]
+    tried = narrow.join(blocks, list(_BLOCK)).withColumn("_rank", rank).groupBy("_source").agg(F.max("target").alias("_target"), F.max("_offset").alias("_offset"), *[F.sum(copies(t) * F.col("size")).alias(f"_t{j}") for j, t in enumerate(turned)])
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_t{j}") - F.col("_target")).alias("off"), F.lit(j).alias("j"), t.alias("start")) for j, t in enumerate(turned)]))
+    blocks = blocks.drop("_offset").join(spool(tried.select("_source", best["start"].alias("_start")), "offsets"), "_source")
+    d = d.join(blocks, list(_BLOCK)).withColumn("_rank", rank).withColumn("copies", copies(F.col("_start")))
     return d.select(*docs.columns, "size", "source_size", "target", "copies")
 
 
