@@ -160,6 +160,15 @@ def test_many_queries_go_in_blocks(spark, monkeypatch):
         assert {(r["query_id"], r["ref_id"]) for r in plan(refs, queries).collect()} == want
 
 
+def test_hot_partitions_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(knn, "REF_BLOCK", 100)
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 30)
+    refs = generators.points(spark, 1500).withColumn("q9", F.lit(0)).withColumn("q10", F.lit(0)).withColumn("q11", F.lit(0))
+    queries = generators.queries(refs, 200).withColumn("q9", F.lit(0)).withColumn("q10", F.lit(0)).withColumn("q11", F.lit(0))
+    want = {(q, r[0]) for q, rs in brute(refs.collect(), queries.collect()).items() for r in rs}
+    assert {(r["query_id"], r["ref_id"]) for r in knn.neighbours_pruned(refs, queries).collect()} == want
+
+
 def test_verdict_json(spark):
     got = [r[0] for r in spark.range(6).select(knn.verdict_json(F.col("id"))).collect()]
     assert [json.loads(x) for x in got] == [{"approved": i < 3, "fraud_score": i / 5} for i in range(6)]

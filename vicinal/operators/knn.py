@@ -3,7 +3,7 @@
 Order is total everywhere: distance, then label, then ref_id. Four plans give it. ``neighbours`` is declarative: queries are
 broadcast in blocks and references stream by, each task keeping k for a query before the shuffle. ``neighbours_blocked`` does the same with
 a matrix product for each batch of references; a batch whose box is farther than what a query has found is skipped.
-``neighbours_pruned`` looks into a query's own partition first, and into those others whose box is no farther than the k-th distance found.
+``neighbours_pruned`` lets blocks of a partition's references and queries meet, a query's own partition first, then those others whose box is no farther than the k-th distance found.
 ``neighbours_fast`` skips the others where k references are within a radius; it can differ from the exact result.
 """
 
@@ -27,7 +27,9 @@ from vicinal.schema import DIM, K
 NEAR = 1400 * 1400
 #: The bytes of queries up to which they are broadcast.
 BROADCAST_BYTES = 32 << 20
+REF_BLOCK, QUERY_BLOCK = 50_000, 5_000
 Q = [f"q{i}" for i in range(DIM)]
+_FOUND = pa.schema([("query_id", pa.int64()), ("ref_id", pa.int64()), ("label", pa.int32()), ("d2", pa.int64())])
 SCORES = ("0", "0.2", "0.4", "0.6", "0.8", "1")
 
 
@@ -85,9 +87,8 @@ def _kernel(batches: Iterator[pa.RecordBatch], ids: np.ndarray, points: np.ndarr
                 for b, v in zip(best, merged, strict=True):
                     b[i] = v[keep]
     real = best[0] < np.iinfo(np.int64).max
-    names = ["query_id", "ref_id", "label", "d2"]
     cols = [np.repeat(ids[:, None], k, axis=1)[real], best[2][real], best[1][real].astype(np.int32), best[0][real]]
-    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_FOUND)
 
 
 def neighbours_blocked(refs: DataFrame, queries: DataFrame, k: int = K, dims: Sequence[str] = Q) -> DataFrame:
@@ -107,10 +108,35 @@ def boxes(refs: DataFrame) -> DataFrame:
     return refs.groupBy("part_key").agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for c in Q for n, f in (("lo", F.min), ("hi", F.max))])
 
 
-def _within(refs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k best among the references of each query's part_key."""
-    pairs = refs.select("part_key", "ref_id", "label", *Q).join(queries, "part_key")
-    return _top(pairs.select("query_id", "ref_id", "label", squared(Q, [f"{c}_q" for c in Q]).alias("d2")), k).drop("rank")
+def _meet(k: int):
+    """The k best of a block of references for each query of a block."""
+
+    def best(refs: pa.Table, queries: pa.Table) -> pa.Table:
+        x = refs.select(["ref_id", "label", *Q]).combine_chunks().to_batches()
+        ids, points = queries["query_id"].to_numpy(), np.column_stack([queries[c].to_numpy() for c in Q]).astype(np.float64) if queries.num_rows else None
+        found = list(_kernel(iter(x), ids, points, k)) if queries.num_rows else []
+        return pa.Table.from_batches(found, schema=_FOUND)
+
+    return best
+
+
+def _within(refs: DataFrame, queries: DataFrame, zone: DataFrame, k: int) -> DataFrame:
+    """The k best among the references of each query's part_key.
+
+    References and queries of a key meet in blocks, of 50000 and 5000, so a key may hold any share of them; k rows of a query leave a block.
+    ``zone`` has each key's n; like the counts of queries by key it has 256 rows at most.
+    """
+    n_q = queries.groupBy("part_key").agg((F.floor(F.count("*") / QUERY_BLOCK) + 1).cast("int").alias("_nj"))
+    sizes = zone.select("part_key", (F.floor(F.col("n") / REF_BLOCK) + 1).cast("int").alias("_ni")).join(n_q, "part_key")
+    at = ["part_key", "_i", "_j"]
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    r = refs.select("part_key", "ref_id", F.col("label").cast("int").alias("label"), *Q).join(F.broadcast(sizes), "part_key")
+    r = r.withColumn("_i", own("ref_id", "_ni")).withColumn("_j", spread("_nj")).drop("_ni", "_nj")
+    q = queries.select("part_key", "query_id", *Q).join(F.broadcast(sizes), "part_key")
+    q = q.withColumn("_j", own("query_id", "_nj")).withColumn("_i", spread("_ni")).drop("_ni", "_nj")
+    found = r.groupBy(*at).cogroup(q.groupBy(*at)).applyInArrow(_meet(k), "query_id long, ref_id long, label int, d2 long")
+    return _top(found, k).drop("rank")
 
 
 def neighbours_pruned(refs: DataFrame, queries: DataFrame, k: int = K, near: int | None = None) -> DataFrame:
@@ -120,15 +146,15 @@ def neighbours_pruned(refs: DataFrame, queries: DataFrame, k: int = K, near: int
     """
     refs = refs if "part_key" in refs.columns else refs.withColumn("part_key", part_key())
     q = queries.select("query_id", *Q).withColumn("part_key", part_key())
-    q = q.select("query_id", "part_key", *[F.col(c).alias(f"{c}_q") for c in Q])
-    home = _within(refs, q, k)
+    zone = boxes(refs)
+    home = _within(refs, q, zone, k)
     limit = home.groupBy("query_id").agg(F.when(F.count("*") == k, F.max("d2")).alias("limit"))
-    zone = boxes(refs).withColumnRenamed("part_key", "other")
     todo = q.join(limit, "query_id", "left")
     if near is not None:
         todo = todo.filter(F.col("limit").isNull() | (F.col("limit") > near))
-    todo = todo.join(F.broadcast(zone), (F.col("other") != F.col("part_key")) & (F.col("limit").isNull() | (box_bound([f"{c}_q" for c in Q], [f"lo_{c}" for c in Q], [f"hi_{c}" for c in Q]) <= F.col("limit"))))  # 256 rows
-    away = _within(refs, todo.select("query_id", F.col("other").alias("part_key"), *[f"{c}_q" for c in Q]), k)
+    others = zone.withColumnRenamed("part_key", "other")
+    todo = todo.join(F.broadcast(others), (F.col("other") != F.col("part_key")) & (F.col("limit").isNull() | (box_bound(Q, [f"lo_{c}" for c in Q], [f"hi_{c}" for c in Q]) <= F.col("limit"))))  # 256 rows
+    away = _within(refs, todo.select("query_id", F.col("other").alias("part_key"), *Q), zone, k)
     return _top(home.unionByName(away), k)
 
 

@@ -274,6 +274,34 @@ def timing_summary(spark, sf_dir):
     return t.select("n", F.round("mean", 9).alias("mean"), "longest", F.round("per_second", 6).alias("per_second"))
 
 
+@_query("with r as (select value as x, row_number() over (order by value) - 1 as i, count(*) over () as n from events) select min(x) as least, max(x) filter (i = floor(0.5 * n)) as median, max(x) filter (i = least(n - 1, floor(0.99::DOUBLE * n))) as p99, round(avg(x), 9) as mean from r")
+def trial_summary(spark, sf_dir):
+    return evaluate.trials(tx.table(spark, sf_dir, "events"), "value").withColumn("mean", F.round("mean", 9))
+
+
+SWEEP = (1, 4, 8, 16)
+_SWEEP = _CELLS + f""", s as (select id as query_id, vec as qvec from a where id % 20 = 0),
+pr as (select s.*, cell, row_number() over (partition by query_id order by {_D.format(a="qvec", b="centroid")}, cell) as r from s, c),
+f as (select probes, query_id, id from (select probes, query_id, id, row_number() over (partition by probes, query_id order by {_D.format(a="vec", b="qvec")}, label, id) as rank from pr join a using (cell), (values {", ".join(f"({n})" for n in SWEEP)}) w(probes) where r <= probes) where rank <= 5),
+g as (select * from (select query_id, id, row_number() over (partition by query_id order by {_D.format(a="vec", b="qvec")}, label, id) as rank from s, a) where rank <= 5)
+select probes::INT as probes, count(*) as hits, (select count(*) from g) as total from f semi join g using (query_id, id) group by 1"""
+
+
+@_query(_SWEEP)
+def probe_sweep(spark, sf_dir):
+    """What each number of probed cells finds of the five nearest."""
+    p = _points(spark, sf_dir)
+    c = ivf.first_centroids(p, CELLS)
+    a = ivf.assign(p, c)
+    q = p.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
+    truth = ivf.search(a, c, q, probes=CELLS)
+    out = None
+    for n in SWEEP:
+        r = ivf.recall(truth, ivf.search(a, c, q, probes=n)).select(F.lit(n).alias("probes"), "hits", "total")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 _SCORED = ", j as (select frauds < 3 as got, k.label = 0 as want from votes join k using (query_id)), m as (select count(*) filter (not got and not want) as tp, count(*) filter (got and want) as tn, count(*) filter (not got and want) as fp, count(*) filter (got and not want) as fn from j) "
 
 
