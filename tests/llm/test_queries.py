@@ -1,5 +1,7 @@
 """The queries against their SQL, and the pipeline against its stages."""
 
+import uuid
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -35,8 +37,8 @@ def staged(spark, docs):
     out = [docs]
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
         d = stage(spark, out[-1], SF)
-        path = f"{work_dir(spark)}/stage-{i}-{F.lit(1)._jc.hashCode()}"
-        d.write.mode("overwrite").parquet(path)
+        path = f"{work_dir(spark)}/stage-{i}-{uuid.uuid4().hex}"
+        d.write.parquet(path)
         out.append(spark.read.parquet(path))
     return out
 
