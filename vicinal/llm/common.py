@@ -5,8 +5,11 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -79,6 +82,22 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], block: Sequence[str], order:
     return df.join(totals, at).withColumn(out, F.col("_before") + F.sum(measure).over(within) - measure).drop("_before")
 
 
+def parts(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches with about ``most`` bytes in the column ``text``, a row at least; what a worker holds as Python objects is so bounded."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < len(sizes):
+            to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at : at + 4096]), most, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+        del batch
+    pa.default_memory_pool().release_unused()
+
+
 def ship(module: str) -> None:
     """Send functions of ``module`` to executors with their code, so that the library need not be installed there."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+ship(__name__)

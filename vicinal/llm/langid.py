@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import ship
+from vicinal.llm.common import parts, ship
 
 SPAN, HIDDEN = 64, 8
 #: The bounds of the training sample: rows for each language, excerpts of each row, and languages (the most frequent ones).
@@ -172,21 +172,16 @@ def pooled(m: Model, data: list[bytes]) -> np.ndarray:
     return np.add.reduceat(sums, np.concatenate([[0], ends[:-1]]), axis=0) / lengths[:, None]
 
 
-def _predicted(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        at = 0
-        while at < len(texts):
-            to, size = at + 1, len(texts[at])
-            while to < len(texts) and size + len(texts[to]) <= 1 << 20:
-                size += len(texts[to])
-                to += 1
-            p = pooled(m, [t.encode() for t in texts[at:to]])
-            best = p.argmax(axis=1)
-            score = np.clip(np.round(p[np.arange(len(best)), best], 4), 0, 1)
-            rest = [c.slice(at, to - at) for c in batch.columns[2:]]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array([m.languages[i] for i in best], pa.string()), pa.array(score, pa.float64()), *rest], names=["doc_id", "lang_pred", "score", *batch.schema.names[2:]])
-            at = to
+def _predicted(batches: Iterator[pa.RecordBatch], m: Model, keep: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """A text without a letter gets no language, and 0."""
+    for part in parts(batches):
+        has = part.column(2).to_pylist()
+        p = pooled(m, [(t if h else "-").encode() for t, h in zip(part.column(1).to_pylist(), has, strict=True)])
+        best = p.argmax(axis=1)
+        score = np.where(has, np.clip(np.round(p[np.arange(len(best)), best], 4), 0, 1), 0.0)
+        names = [m.languages[i] if h else UNKNOWN for i, h in zip(best, has, strict=True)]
+        kept = [part.column("_read" if c == "text" else c) for c in keep]  # the text goes to Python once
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), *kept], names=["doc_id", "lang_pred", "score", *keep])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -221,14 +216,10 @@ def identify(docs: DataFrame, model: Model | None, keep: Sequence[str] = ()) ->
     if model is None:
         return docs.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *keep)
     has = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    read = F.when(has, F.col("text")).otherwise("-")
-    kept = [c for c in keep if c != "text"]
     types = dict(docs.dtypes)
-    schema = ", ".join(["doc_id long, lang_pred string, score double, _has boolean", *(["_text string"] if "text" in keep else []), *[f"`{c}` {types[c]}" for c in kept]])
-    d = docs.select("doc_id", read.alias("_read"), has.alias("_has"), *([F.col("text").alias("_text")] if "text" in keep else []), *kept)
-    out = d.mapInArrow(lambda it: _predicted(it, model), schema)
-    seen = [F.when(F.col("_has"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("_has"), F.col("score")).otherwise(0.0).alias("score")]
-    return out.select("doc_id", *seen, *[F.col("_text").alias("text") if c == "text" else c for c in keep])
+    schema = ", ".join(["doc_id long, lang_pred string, score double", *[f"`{c}` {types[c]}" for c in keep]])
+    d = docs.select("doc_id", F.col("text").alias("_read"), has.alias("_has"), *[c for c in keep if c != "text"])
+    return d.mapInArrow(lambda it: _predicted(it, model, keep), schema).select("doc_id", "lang_pred", "score", *keep)
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE, excerpts: int = EXCERPTS) -> Model | None:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from vicinal.llm.common import ship
+from vicinal.llm.common import parts, ship
 
 #: Fixed values of the format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -135,11 +135,9 @@ def low_hash(samples: np.ndarray, channels: int = DEPTH) -> bytes:
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        for at in range(0, len(ids), 512):
-            data = [(x or "").encode() for x in texts.slice(at, 512).to_pylist()]
-            yield pa.RecordBatch.from_arrays([ids.slice(at, 512), pa.array(map(len, data), pa.int64()), pa.array([encode(pad(x), level) for x in data], pa.binary())], names=["doc_id", "n_bytes", "media"])
+    for part in parts(batches):
+        data = [(x or "").encode() for x in part.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, data), pa.int64()), pa.array([encode(pad(x), level) for x in data], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
 def to_media(docs: DataFrame, level: int = 1) -> DataFrame:
@@ -151,7 +149,7 @@ _OUT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, ta
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches, text=2):
         rows = []
         for media in batch.column(2).to_pylist():
             samples = decode(media)

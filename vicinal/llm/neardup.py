@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import ship, spool, unspool
+from vicinal.llm.common import parts, ship, spool, unspool
 
 WIDTH = 5
 PERCENT = 75
@@ -110,19 +110,6 @@ class Shingler:
         return sig
 
 
-def _slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[pa.Array, list[str | None]]]:
-    """Parts of a batch (id, text) of about ``most`` characters."""
-    ids, texts = batch.column(0), batch.column(1).to_pylist()
-    at = 0
-    while at < len(texts):
-        end, size = at + 1, len(texts[at] or "")
-        while end < len(texts) and size + len(texts[end] or "") <= most:
-            size += len(texts[end] or "")
-            end += 1
-        yield ids.slice(at, end - at), texts[at:end]
-        at = end
-
-
 def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*rows, np.empty(0, rows[0].dtype if rows else np.int64)]), kind))
@@ -130,22 +117,19 @@ def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     s = Shingler()
-    for batch in batches:
-        for ids, texts in _slices(batch):
-            sets = s.sets(texts)
-            some = [i for i, x in enumerate(sets) if len(x)]
-            sig = s.signatures([sets[i] for i in some]).view(np.int32)
-            row = dict(zip(some, sig, strict=True))
-            none = np.empty(0, np.int32)
-            key = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in sets], pa.int64()), pa.array(key, pa.binary()), _lists([row.get(i, none) for i in range(len(sets))], pa.int32())], names=["doc_id", "n_shingles", "key", "sig"])
+    none = np.empty(0, np.int32)
+    for part in parts(batches):
+        sets = s.sets(part.column(1).to_pylist())
+        some = [i for i, x in enumerate(sets) if len(x)]
+        row = dict(zip(some, s.signatures([sets[i] for i in some]).view(np.int32), strict=True))
+        key = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(key, pa.binary()), _lists([row.get(i, none) for i in range(len(sets))], pa.int32())], names=["doc_id", "n_shingles", "key", "sig"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     s = Shingler()
-    for batch in batches:
-        for ids, texts in _slices(batch):
-            yield pa.RecordBatch.from_arrays([ids, _lists([x.view(np.int64) for x in s.sets(texts)], pa.int64())], names=["id", "set"])
+    for part in parts(batches):
+        yield pa.RecordBatch.from_arrays([part.column(0), _lists([x.view(np.int64) for x in s.sets(part.column(1).to_pylist())], pa.int64())], names=["id", "set"])
 
 
 def _across(table: pa.Table, percent: int) -> pa.Table:

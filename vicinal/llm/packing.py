@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import prefix_sums, ship, spool
+from vicinal.llm.common import parts, prefix_sums, ship, spool
 
 LENGTH, GRAIN = 4096, 16
 END_ID = 2
@@ -79,24 +79,16 @@ class WordIds:
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, end_id: int, length: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     ids_of = WordIds(path, end_id)
-    for batch in batches:
-        docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        at = 0
-        while at < len(docs):
-            to, size = at + 1, len(texts[at] or "")
-            while to < len(docs) and size + len(texts[to] or "") <= 1 << 20:
-                size += len(texts[to] or "")
-                to += 1
-            rows = []
-            for doc, ids in zip(docs[at:to], ids_of(texts[at:to]), strict=True):
-                n = len(ids) // 4
-                for start in range(0, n, length):
-                    part = ids[4 * start : 4 * (start + length)]
-                    rows.append((doc, start, len(part) // 4, zlib.crc32(part), n, part))
-            cols = list(zip(*rows, strict=True))
-            arrays = [pa.array(c, pa.int64()) for c in cols[:5]] + [pa.array(cols[5], pa.binary())] * with_ids
-            yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _SPOT.split(", ")] + ["ids"] * with_ids)
-            at = to
+    for some in parts(batches):
+        rows = []
+        for doc, ids in zip(some.column(0).to_pylist(), ids_of(some.column(1).to_pylist()), strict=True):
+            n = len(ids) // 4
+            for start in range(0, n, length):
+                part = ids[4 * start : 4 * (start + length)]
+                rows.append((doc, start, len(part) // 4, zlib.crc32(part), n, part))
+        cols = list(zip(*rows, strict=True))
+        arrays = [pa.array(c, pa.int64()) for c in cols[:5]] + [pa.array(cols[5], pa.binary())] * with_ids
+        yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _SPOT.split(", ")] + ["ids"] * with_ids)
 
 
 def pieces(docs: DataFrame, path: str, end_id: int = END_ID, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
