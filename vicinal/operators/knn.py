@@ -135,7 +135,8 @@ def _within(refs: DataFrame, queries: DataFrame, zone: DataFrame, k: int) -> Dat
     r = r.withColumn("_i", own("ref_id", "_ni")).withColumn("_j", spread("_nj")).drop("_ni", "_nj")
     q = queries.select("part_key", "query_id", *Q).join(F.broadcast(sizes), "part_key")
     q = q.withColumn("_j", own("query_id", "_nj")).withColumn("_i", spread("_ni")).drop("_ni", "_nj")
-    found = r.groupBy(*at).cogroup(q.groupBy(*at)).applyInArrow(_meet(k), "query_id long, ref_id long, label int, d2 long")
+    tasks = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: few bytes, but much work in each block
+    found = r.repartition(tasks, *at).groupBy(*at).cogroup(q.repartition(tasks, *at).groupBy(*at)).applyInArrow(_meet(k), "query_id long, ref_id long, label int, d2 long")
     return _top(found, k).drop("rank")
 
 
@@ -146,8 +147,9 @@ def neighbours_pruned(refs: DataFrame, queries: DataFrame, k: int = K, near: int
     """
     refs = refs if "part_key" in refs.columns else refs.withColumn("part_key", part_key())
     q = queries.select("query_id", *Q).withColumn("part_key", part_key())
-    zone = boxes(refs)
-    home = _within(refs, q, zone, k)
+    refs, q = refs.persist(), q.persist()  # each is read by both phases
+    zone = boxes(refs).persist()
+    home = _within(refs, q, zone, k).persist()
     limit = home.groupBy("query_id").agg(F.when(F.count("*") == k, F.max("d2")).alias("limit"))
     todo = q.join(limit, "query_id", "left")
     if near is not None:
