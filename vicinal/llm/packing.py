@@ -9,6 +9,7 @@ histogram of a few hundred classes, whatever the size of the corpus.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -40,6 +41,7 @@ class WordIds:
     PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
     def __init__(self, path: str, end_id: int = END_ID, most: int = MOST_WORDS) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker for each core: no threads within them
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
