@@ -78,6 +78,20 @@ def test_outliers_equal_a_plain_estimate(spark):
     assert all(out[i]["kept"] for i in range(400) if i % 12 not in (5, 9))
 
 
+def test_short_symbol_heavy_documents_go(spark):
+    rng = random.Random(17)
+    data = []
+    for i in range(240):
+        text = prose(rng, rng.randint(4, 9))
+        if i % 12 == 7:
+            w = (text + " " + prose(rng, 12)).split()[:75]
+            text = " ".join(x + " ||" if k % 5 == 0 else x for k, x in enumerate(w))
+        data.append((i, text, "en", "s", len(text)))
+    out = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert not any(out[i]["base_failed"] for i in out)
+    assert all(out[i]["kept"] == (i % 12 != 7) for i in out)
+
+
 def test_groups_are_apart_and_order_does_not_matter(spark):
     data = [(i, t, lang, source, n) for i, t, _, _, n in corpus(240) for lang, source in [((None, "fr")[i % 2], (None, "q", "r")[i % 3])]]
     a = {tuple(r) for r in quality_rules(spark.createDataFrame(data, SCHEMA)).collect()}

@@ -21,8 +21,8 @@ LEAST_WORDS, REPEAT_PERCENT = 20, 30
 SHARE, STEPS, CUTOFF = 0.75, 3, 28.5
 #: Expected squared-distance factor for four dimensions at that share: 0.75 / P(chi2(6) <= chi2(4).quantile(0.75)).
 CONSISTENCY = 1.486
-#: Added standard deviations, by statistic: no group is taken to vary less than this.
-FLOORS = (0.05, 0.12, 0.12, 0.08)
+#: Added standard deviations, by statistic: no group is taken to vary less than this. Clean prose has almost no symbols, so theirs is small.
+FLOORS = (0.05, 0.05, 0.12, 0.08)
 #: Groups of fewer documents share one estimate for their language.
 LEAST_GROUP = 50
 PRIOR = 50
