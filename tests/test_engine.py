@@ -286,3 +286,13 @@ def test_stream_equals_batch(spark, payloads, tmp_path):
     q.awaitTermination()
     batch = spark.read.schema(PAYLOAD).json(str(tmp_path / "in"))
     assert seen == {r["query_id"]: r["frauds"] for r in score_payloads(batch, refs, "pruned").collect()} and len(seen) == 60
+
+
+def test_trained_search_finds_nine_in_ten(spark):
+    from vicinal.plans import catalog
+
+    for sf_dir in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        truth = catalog.QUERIES["knn_f64"](spark, sf_dir).select("query_id", F.col("ref_id").alias("id"))
+        r = ivf.recall(truth, catalog.QUERIES["ivf_trained_search"](spark, sf_dir)).first()
+        print(sf_dir, r)
+        assert r["recall"] >= 0.9
