@@ -23,6 +23,17 @@ def test_ids_equal_the_tokenizer():
         assert np.frombuffer(got, "<u4").tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, 2], repr(text)
 
 
+def test_ids_do_not_depend_on_the_texts_beside():
+    rng = random.Random(2)
+    marks = "abzEZé́K9'\".,!?<|>*$-  \n"
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["end.", "a.b.", "é..", "x' y'.", ".", "", "  "] + [r[1] for r in rows() if r[1] is not None]
+    plain, ids = Tokenizer.from_file(PATH), WordIds(PATH, most=2000)
+    for at in range(0, len(texts), 7):
+        for text, got in zip(texts[at : at + 7], ids(texts[at : at + 7]), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2], repr(text)
+    assert ids([]) == []
+
+
 def brute_bins(demand, capacity):
     """The fewest bins, by trying all ways: small cases only."""
     items = sorted((c for c, n in demand.items() for _ in range(n)), reverse=True)

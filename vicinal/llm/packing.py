@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,73 +25,122 @@ from vicinal.llm.common import parts, prefix_sums, ship, spool
 
 LENGTH, GRAIN = 4096, 16
 END_ID = 2
-#: A worker forgets its words' ids when it has so many.
-MOST_WORDS = 500_000
+#: A worker forgets its words' ids when it has so many; it then looks them up anew.
+MOST_WORDS = 750_000
+#: Bytes of text that a worker numbers at once: more have fewer different words in proportion.
+PART = 2 << 20
 MOST_COLUMNS = 4000
 _SPOT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class WordIds:
-    """Token ids of texts whose tokenizer lowers letters and never joins across white space: words' ids are looked up, only new words are encoded.
+    """Token ids of texts whose tokenizer lowers letters and never joins across white space: words are numbered by Arrow, ids are looked up once for each different word of a part.
 
     Signs between a letter and white space are a word of their own for such a tokenizer; setting them apart leaves fewer different words.
     """
 
-    APART = re.compile(rb"(?<=[a-z])([!-&(-/:-@\[-`{-~]+)(?=\s)")
-    #: Small letters up to U+00FF in UTF-8: nothing in them to normalize or to part.
-    PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+    #: ASCII signs, which are neither letters, digits nor white space.
+    SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    #: Small letters up to U+00FF: nothing in them to normalize or to part.
+    PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
     def __init__(self, path: str, end_id: int = END_ID, most: int = MOST_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker for each core: no threads within them
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.as_text = {ord(b): a for x in map(chr, range(0xDF, 0x100)) for a, b in zip(bytewise(x)[0][0], x.encode().decode("latin-1"), strict=True)}
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.end, self.most = int(end_id).to_bytes(4, "little"), most
-        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
-
-    def _words(self, text: str | None) -> list[bytes]:
-        low = (data := (text or "").encode()).lower()
-        if any(x in low for x in self.special):  # special tokens are told by their letters' case
-            return data.split()
-        return self.APART.sub(rb" \1 ", low).split()
-
-    def _learn(self, words: set[bytes]) -> None:
-        new = words.difference(self.known)
-        plain = {w for w in new if self.PLAIN.fullmatch(w)}
-        for w in plain:  # to such words only the merges apply
-            text = w.decode() if w.isascii() else self.as_bytes(w.decode())[0][0]
-            self.known[w] = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
-        rest = list(new - plain)
-        for at in range(0, len(rest), 20_000):
-            part = rest[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = array("I", e.ids).tobytes()
+        self.end, self.most = end_id, most
+        self.special = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self._forget()
+
+    def _forget(self) -> None:
+        """Word w has the ids pool[starts[i] : starts[i + 1]], i = known[w]."""
+        self.known: dict[str, int] = {}
+        self.pool, self.starts = array("I"), array("q", [0])
+
+    def _learn(self, words: list[str]) -> None:
+        tokenize, plain = self.model.tokenize, self.PLAIN.fullmatch
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            simple, rest = [], []
+            for w in part:
+                (simple if plain(w) else rest).append(w)
+            told = [tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(self.as_text)) for w in simple]  # to such words only the merges apply
+            others = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            self.pool.extend([t.id for ts in told for t in ts])
+            self.pool.extend([i for ids in others for i in ids])
+            sizes = np.array([*map(len, told), *map(len, others)], np.int64)
+            first = len(self.starts) - 1
+            self.known.update(zip(simple + rest, range(first, first + len(sizes)), strict=True))
+            self.starts.frombytes((self.starts[-1] + np.cumsum(sizes)).tobytes())
+
+    def _words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Words, some of them empty, one after the other, and where each text's begin."""
+        low = pc.ascii_lower(texts)
+        if any(pc.any(pc.match_substring(low, x)).as_py() for x in self.special):  # special tokens are told by their letters' case
+            split = pc.ascii_split_whitespace(texts)
+            return split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
+        split = pc.ascii_split_whitespace(low)
+        words = split.flatten()
+        # each word becomes two that lie one behind the other in memory: what is before its last signs, and these
+        first = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+        data = words.buffers()[2]
+        cut = first[:-1] + pc.binary_length(pc.ascii_rtrim(words, characters=self.SIGNS)).to_numpy(zero_copy_only=False)
+        before = np.frombuffer(data, np.uint8)[np.maximum(cut - 1, 0)] if data is not None and len(data) else np.zeros(len(words), np.uint8)
+        cut = np.where((cut > first[:-1]) & (before >= 97) & (before <= 122), cut, first[1:])
+        both = np.empty(2 * len(words) + 1, np.int32)
+        both[::2], both[1::2] = first, cut
+        halves = pa.StringArray.from_buffers(2 * len(words), pa.py_buffer(both), data or pa.py_buffer(b""))
+        return halves, 2 * (split.offsets.to_numpy() - split.offsets[0].as_py())
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers, then the end's."""
+        ids, bounds = self.of(pa.array(texts, pa.string()))
+        return [ids[a:z].astype("<u4").tobytes() for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds): the texts' ids one after the other, each text's ending with the end's, and where each text's begin."""
         if len(self.known) > self.most:
-            self.known.clear()
-        split = [self._words(t) for t in texts]
-        self._learn(set().union(*split))
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) + self.end for ws in split]
+            self._forget()
+        words, edges = self._words(pc.fill_null(texts, "").cast(pa.string()))
+        coded = words.dictionary_encode()
+        different, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        numbers = list(map(self.known.get, different))
+        new = [i for i, x in enumerate(numbers) if x is None]
+        if new:
+            self._learn([different[i] for i in new])
+            for i in new:
+                numbers[i] = self.known[different[i]]
+        starts, pool = np.frombuffer(self.starts, np.int64), np.frombuffer(self.pool, np.uint32) if self.pool else np.empty(0, np.uint32)
+        at = np.array(numbers, np.int64)
+        begin, size = starts[at], starts[at + 1] - starts[at]
+        sizes = size[code]
+        upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        ids = pool[np.repeat(begin[code] - upto[:-1], sizes) + np.arange(upto[-1])]
+        ends = upto[edges]
+        return np.insert(ids, ends[1:], self.end), ends + np.arange(len(ends))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, end_id: int, length: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     ids_of = WordIds(path, end_id)
-    for some in parts(batches):
-        rows = []
-        for doc, ids in zip(some.column(0).to_pylist(), ids_of(some.column(1).to_pylist()), strict=True):
-            n = len(ids) // 4
-            for start in range(0, n, length):
-                part = ids[4 * start : 4 * (start + length)]
-                rows.append((doc, start, len(part) // 4, zlib.crc32(part), n, part))
-        cols = list(zip(*rows, strict=True))
-        arrays = [pa.array(c, pa.int64()) for c in cols[:5]] + [pa.array(cols[5], pa.binary())] * with_ids
-        yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _SPOT.split(", ")] + ["ids"] * with_ids)
+    names = [c.split()[0] for c in _SPOT.split(", ")]
+    for some in parts(batches, most=PART):
+        ids, bounds = ids_of.of(some.column(1))
+        totals = np.diff(bounds)
+        pieces_of = -(-totals // length)
+        row = np.repeat(np.arange(len(totals)), pieces_of)
+        start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces_of) - pieces_of, pieces_of)) * length
+        size = np.minimum(length, totals[row] - start)
+        begin = bounds[row] + start
+        raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+        spans = list(zip((4 * begin).tolist(), (4 * (begin + size)).tolist(), strict=True))
+        crc = [zlib.crc32(raw[a:z]) for a, z in spans]
+        arrays = [some.column(0).take(pa.array(row)), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), pa.array(totals[row])]
+        arrays += [pa.array([bytes(raw[a:z]) for a, z in spans], pa.binary())] * with_ids
+        yield pa.RecordBatch.from_arrays(arrays, names=names + ["ids"] * with_ids)
 
 
 def pieces(docs: DataFrame, path: str, end_id: int = END_ID, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
