@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,37 +35,63 @@ def n_words(text: Column) -> Column:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset and all run on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='vicinal-')}"
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
     return folder
 
 
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+_LOCK, _WRITING = threading.Lock(), []
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go with the query that wrote them; the setting is put back when the last of several concurrent writers is done."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    with _LOCK:
+        _WRITING.append(_WRITING[0] if _WRITING else spark.conf.get(key))
+        spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            before = _WRITING.pop()
+            if not _WRITING:
+                spark.conf.set(key, before)
+
+
 def spool(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, keeps columns prunable, survives lost executors.
 
-    Its shuffle files go when the table is written, instead of when the driver happens to collect its garbage.
+    Its shuffle files go when the table is written, instead of when the driver happens to collect its garbage. The table goes by
+    ``unspool``, at the latest when the application ends.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    path, before = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", conf.get(key)
-    conf.set(key, "true")
-    try:
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    files, at = _files(spark, path)
+    files.deleteOnExit(at)
+    with _cleaning(spark):
         df.write.parquet(path)
-    finally:
-        conf.set(key, before)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._spooled_at = path
     return out
 
 
-def unspool(df: DataFrame) -> None:
+def unspool(*tables: DataFrame) -> None:
     """Delete what ``spool`` wrote, once nothing that is still to be computed reads it."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._spooled_at)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    for df in tables:
+        files, at = _files(df.sparkSession, df._spooled_at)
+        files.delete(at, True)
 
 
 def prefix_sums(df: DataFrame, keys: Sequence[str], block: Sequence[str], order: Sequence[Column], measure: Column, out: str, extra: DataFrame | None = None) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Every document of a source has the same expected number of copies, target over source size. Within a source the
 expected copies are prefix-summed in fixed point, one random offset per source is added, and a document is emitted once for each
-integer that its interval crosses. Documents are ordered by size class first, so that the sample has each class's share and
-the words taken come near the target; of equally spaced turns of the offset, the one that comes nearest is used.
+integer that its interval crosses. Documents are ordered by narrow size classes, one half of them up and the other half down again, so
+that the sample has each class's share, and what another offset adds on the way up it takes off on the way down: the words taken come
+near the target whatever the offset is.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import n_words, spool
+from vicinal.llm.common import n_words, spool, unspool
 
 #: Expected copies are held as multiples of 2**-24: prefix sums are exact for 1e11 documents of one source.
 UNIT = 24
 WEIGHTS = (5, 2, 1)
-#: The random offset is turned by so many equal steps, and the turn that takes the words nearest to the target is used.
-TURNS = 64
+#: Sizes with the same first bits, so many, are of one class: they differ by less than one in 16.
+CLASS_BITS = 5
 _BLOCK = ("_source", "_class", "_part")
 
 
@@ -46,17 +47,17 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int
     return s.select("_source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(left * F.col("w") / open_).alias("target"))
 
 
-def plan_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = 3, share: float = 1.0, seed: int = 0) -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) with size, source_size, target and copies (long).
-
-    Null text has size 0; a null source is a source of its own; repeated rows are each sampled. The order within a source
-    depends on size and doc_id alone, so reruns agree. Columns of ``docs`` named size, source_size, target or copies are replaced.
-    """
-    docs = docs.drop("size", "source_size", "target", "copies")
+def _sized(docs: DataFrame) -> DataFrame:
+    """``docs`` with size and the columns that order a source's documents."""
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     bits = F.bin("size")
-    d = docs.withColumn("size", n_words(F.col("text"))).withColumns({"_source": _key(F.col("source")), "_digest": digest, "_class": F.length(bits) * 1000 + F.substring(F.concat(bits, F.lit("000")), 1, 3).cast("int"), "_part": F.substring(digest, 1, 2)})
-    narrow = spool(d.select("doc_id", "size", *_BLOCK, "_digest"), "sizes")
+    up = F.length(bits) * 100_000 + F.rpad(F.substring(bits, 1, CLASS_BITS), CLASS_BITS, "0").cast("int")
+    order = F.when(F.substring(F.col("_digest"), 32, 1) < "8", up).otherwise(10_000_000 - up)
+    return docs.withColumns({"size": n_words(F.col("text")), "_digest": digest}).withColumns({"_source": _key(F.col("source")), "_class": order, "_part": F.substring("_digest", 1, 2)})
+
+
+def _copies(sized: DataFrame, narrow: DataFrame, weights: Sequence[int], cap: int, share: float, seed: int) -> DataFrame:
+    """``sized`` with source_size, target and copies; ``narrow`` has the same rows and is read for the totals."""
     blocks = narrow.groupBy(*_BLOCK).agg(F.count("*").alias("_n"), F.sum("size").alias("_words"))
     targets = source_targets(blocks.groupBy("_source").agg(F.sum("_words").alias("source_size")), weights, cap, share)
     rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * float(1 << UNIT))).otherwise(0).cast("long")
@@ -65,17 +66,29 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = 3, sh
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n", "_words")
     blocks = spool(blocks.join(targets, "_source").withColumns({"_rate": rate, "_offset": offset}), "blocks")
     rank = F.col("_before") + F.row_number().over(Window.partitionBy(*_BLOCK).orderBy("_digest", "doc_id", "size"))
+    upto = lambda k: F.shiftright(F.col("_rate") * k + F.col("_offset"), UNIT)
+    return sized.join(blocks, list(_BLOCK)).withColumn("_rank", rank).withColumn("copies", upto(F.col("_rank")) - upto(F.col("_rank") - 1))
 
-    def copies(start: Column) -> Column:
-        upto = lambda k: F.shiftright(F.col("_rate") * k + start, UNIT)
-        return upto(F.col("_rank")) - upto(F.col("_rank") - 1)
 
-    turned = [(F.col("_offset") + j * ((1 << UNIT) // TURNS)) % (1 << UNIT) for j in range(TURNS)]
-    tried = narrow.join(blocks, list(_BLOCK)).withColumn("_rank", rank).groupBy("_source").agg(F.max("target").alias("_target"), F.max("_offset").alias("_offset"), *[F.sum(copies(t) * F.col("size")).alias(f"_t{j}") for j, t in enumerate(turned)])
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_t{j}") - F.col("_target")).alias("off"), F.lit(j).alias("j"), t.alias("start")) for j, t in enumerate(turned)]))
-    blocks = blocks.drop("_offset").join(spool(tried.select("_source", best["start"].alias("_start")), "offsets"), "_source")
-    d = d.join(blocks, list(_BLOCK)).withColumn("_rank", rank).withColumn("copies", copies(F.col("_start")))
-    return d.select(*docs.columns, "size", "source_size", "target", "copies")
+def plan_sizes(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = 3, share: float = 1.0, seed: int = 0) -> DataFrame:
+    """(doc_id, size, source_size, target, copies): the plan without the documents; texts are read once."""
+    narrow = spool(_sized(docs.select("doc_id", "text", "source")).select("doc_id", "size", *_BLOCK, "_digest"), "sizes")
+    return _copies(narrow, narrow, weights, cap, share, seed).select("doc_id", "size", "source_size", "target", "copies")
+
+
+def plan_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = 3, share: float = 1.0, seed: int = 0) -> DataFrame:
+    """``docs`` (doc_id, text, source, ...) with size, source_size, target and copies (long).
+
+    Null text has size 0; a null source is a source of its own, the last one; a null doc_id counts as an empty one; repeated rows are each
+    sampled. The order within a source depends on size and doc_id alone, so reruns agree. Columns of ``docs`` named size, source_size,
+    target or copies are replaced.
+    """
+    docs = docs.drop("size", "source_size", "target", "copies")
+    sized = _sized(docs)
+    narrow = spool(sized.select("size", *_BLOCK), "sizes")
+    out = _copies(sized, narrow, weights, cap, share, seed)
+    unspool(narrow)  # only the blocks' totals were read from it, and these are a table by now
+    return out.select(*docs.columns, "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = 3, share: float = 1.0, seed: int = 0) -> DataFrame:

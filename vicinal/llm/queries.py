@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = mixing.plan_mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    d = mixing.plan_sizes(_table(spark, sf_dir, "documents"))
     return d.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -93,18 +93,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _OP1 = """
-with d as (select doc_id, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT as size, case when source is null then '' else '=' || source end as k, md5(coalesce(doc_id::VARCHAR, '')) as hk from documents),
+with d as (select doc_id, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT as size, case when source is null then '' else '=' || source end as k, md5(coalesce(doc_id::VARCHAR, '')) as hk, length(bin(size)) * 100000 + rpad(substr(bin(size), 1, 5), 5, '0')::INT as up from documents),
 s as (select k, sum(size)::BIGINT as source_size from d group by k),
 w as (select *, [5.0, 2.0, 1.0][((row_number() over (order by k = '', k) - 1) % 3) + 1]::DOUBLE as w, source_size * 3.0::DOUBLE as cap, (sum(source_size) over ())::DOUBLE as total from s),
 r as (select *, total - coalesce(sum(cap) over (order by cap / w, k rows between unbounded preceding and 1 preceding), 0) as rest, sum(w) over (order by cap / w, k rows between current row and unbounded following) as open from w),
 f as (select *, rest * w > cap * open as is_full from r),
 t as (select k, source_size, case when is_full then cap else (total - coalesce(sum(case when is_full then cap end) over (), 0)) * w / sum(case when not is_full then w end) over () end as target from f),
 g as (select *, case when source_size > 0 then floor(target / source_size * 16777216)::BIGINT else 0 end as rate, ('0x' || substr(md5('0:' || k), 1, 6))::BIGINT as start from t),
-o as (select d.*, g.source_size, g.target, g.rate, g.start, row_number() over (partition by d.k order by length(bin(size)), substr(bin(size) || '000', 1, 3)::INT, hk, doc_id, size) as i from d join g on d.k = g.k),
-u as (select *, (start + j * 262144) % 16777216 as turn from o, (select unnest(range(64)) as j)),
-c as (select k, j, turn, sum((((rate * i + turn) >> 24) - ((rate * (i - 1) + turn) >> 24)) * size)::BIGINT as taken, max(target) as target from u group by 1, 2, 3),
-b as (select k, turn from (select *, row_number() over (partition by k order by abs(taken - target), j) as place from c) where place = 1)
-select doc_id, size, source_size, target::DOUBLE as target, (((rate * i + turn) >> 24) - ((rate * (i - 1) + turn) >> 24)) * size as taken from o join b using (k)
+o as (select d.*, g.source_size, g.target, g.rate, g.start, row_number() over (partition by d.k order by case when substr(hk, 32, 1) < '8' then up else 10000000 - up end, hk, doc_id, size) as i from d join g on d.k = g.k)
+select doc_id, size, source_size, target::DOUBLE as target, (((rate * i + start) >> 24) - ((rate * (i - 1) + start) >> 24)) * size as taken from o
 """
 
 _OP5 = r"""
