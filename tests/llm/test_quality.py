@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 
 from tests.llm.data import SCHEMA, prose, rows
-from vicinal.llm.quality import CONSISTENCY, CUTOFF, FLOORS, PRIOR, SHARE, base_statistics, quality_rules
+from vicinal.llm.quality import CONSISTENCY, CUTOFF, FLOORS, PRIOR, SALTS, SHARE, STARTS, UNIT, base_statistics, estimates, quality_rules
 
 
 def base(text):
@@ -51,6 +51,54 @@ def mcd(v):
     return np.einsum("ij,jk,ik->i", v - m, np.linalg.inv(s), v - m)
 
 
+def least_determinant(v):
+    """Concentration until the determinant stops falling, from the quantile starts and 30 random ones; no histograms."""
+    rng, floor = np.random.default_rng(4), np.diag(np.array(FLOORS) ** 2)
+    starts = []
+    for m1, m2, lo, hi, width, one in STARTS:
+        q = np.quantile(v, [m1, m2, lo, hi], axis=0)
+        s = (q[3] - q[2]) / width
+        starts.append(((q[0] + q[1]) / 2, np.diag((np.full(4, s.max()) if one else s) ** 2) + floor))
+    for _ in range(30):
+        some = v[rng.choice(len(v), 40, replace=False)]
+        starts.append((some.mean(axis=0), np.cov(some.T, bias=True) + floor))
+    best = (np.inf, None)
+    for m, s in starts:
+        last = np.inf
+        while True:
+            d = np.einsum("ij,jk,ik->i", v - m, np.linalg.inv(s), v - m)
+            core = v[np.argsort(d)[: int(np.ceil(SHARE * len(v)))]]
+            m, s = core.mean(axis=0), np.cov(core.T, bias=True) * CONSISTENCY + floor
+            if (now := np.linalg.slogdet(s)[1]) > last - 1e-9:
+                break
+            last = now
+        if last < best[0]:
+            best = (last, np.einsum("ij,jk,ik->i", v - m, np.linalg.inv(s), v - m))
+    return best
+
+
+def test_the_least_determinant_is_found(spark):
+    rng = np.random.default_rng(8)
+    near, far = rng.normal(0, [0.3, 0.2, 0.5, 0.4], (500, 4)), rng.normal([2, 3, 2, 1], 0.1, (160, 4))
+    near[:, 1] += near[:, 0]
+    v = np.rint(np.concatenate([near, far]) * UNIT).astype(int)
+    d = spark.createDataFrame([("g", i % SALTS, *map(int, x)) for i, x in enumerate(v)], "g string, _salt int, v0 long, v1 long, v2 long, v3 long")
+    p = estimates(d).first()
+    c = np.array([[p[f"c{max(i, j)}{min(i, j)}"] for j in range(4)] for i in range(4)])
+    want, _ = least_determinant(v / UNIT)
+    assert abs(np.linalg.slogdet(c)[1] - want) < 0.05
+    assert np.abs(np.array([p[f"m{i}"] for i in range(4)])).max() < 0.1
+
+
+def test_outliers_of_small_groups_are_told(spark):
+    rng = random.Random(23)
+    data = [(i, prose(rng, rng.randint(4, 9)), "en", "s", 1) for i in range(120)]
+    data += [(200 + i, prose(rng, 6) if i < 8 else re.sub(" ", "%%% ", prose(rng, 6)), "en", "small", 1) for i in range(9)]
+    data += [(300, prose(rng, 6), "xx", None, 1), (301, re.sub(" ", "%%% ", prose(rng, 6)), "yy", None, 1)]
+    out = {r["doc_id"]: r["kept"] for r in quality_rules(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert {i for i, k in out.items() if not k} == {208, 301}
+
+
 def corpus(n=400):
     rng = random.Random(9)
     out = []
@@ -74,6 +122,8 @@ def test_outliers_equal_a_plain_estimate(spark):
     for i, x in enumerate(d):
         assert abs(out[i]["distance2"] - x) < 0.1 * x + 0.5
         assert out[i]["kept"] == (x <= CUTOFF) or abs(x - CUTOFF) < 3
+    for i, x in enumerate(least_determinant(v)[1]):
+        assert abs(out[i]["distance2"] - x) < 0.1 * x + 0.5
     assert not any(out[i]["kept"] for i in range(400) if i % 12 == 5)
     assert all(out[i]["kept"] for i in range(400) if i % 12 not in (5, 9))
 

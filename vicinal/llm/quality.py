@@ -1,30 +1,34 @@
 """Quality rules: base statistics of whole texts, then robust multivariate outliers per language and source.
 
-Each group's location and scatter are minimum-covariance-determinant estimates: from a start at medians and interquartile
-ranges, concentration steps keep the share of documents with the least Mahalanobis distances. Statistics are fixed-point
-integers and are summed as decimals, quantiles come from histograms, and documents meet their group's few numbers in a
-join salted by document; so the result does not depend on the order of rows, and a group may hold any share of them.
+Each group's location and scatter are minimum-covariance-determinant estimates: from several starts at quantiles, concentration steps keep
+the share of documents with the least Mahalanobis distances until the determinant stops falling, and the start that ends with the least
+determinant is taken. Estimates of a language and source lean on those of the language, and these on those of all, by so many documents
+as ``SHRINK`` says: so small groups have a verdict too. Statistics are fixed-point integers, quantiles come from histograms, and
+documents meet their group's few numbers in a join salted by document; so the result does not depend on the order of rows,
+and a group may hold any share of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import let, spool, words
+from vicinal.llm.common import let, spool, unspool, words
 
 WINDOW = 8
 LEAST_WORDS, REPEAT_PERCENT = 20, 30
-#: Share of a group that the estimates rest on, concentration steps, and the squared distance beyond which a document is rejected: chi2(4) at 0.99999.
-SHARE, STEPS, CUTOFF = 0.75, 3, 28.5
+#: Share of a group that the estimates rest on, and the squared distance beyond which a document is rejected: chi2(4) at 0.99999.
+SHARE, CUTOFF = 0.75, 28.5
+#: Starts: the quantiles whose middle is the location and whose distance, over this many standard deviations, is the scale; one scale for all statistics or each its own.
+STARTS = ((0.5, 0.5, 0.25, 0.75, 1.349, False), (0.1, 0.9, 0.1, 0.9, 2.563, False), (0.5, 0.5, 0.25, 0.75, 1.349, True))
+#: Concentration ends when no logarithm of a determinant falls by more than this, or after so many steps, which none has needed.
+FALL, MOST_STEPS = 1e-3, 50
 #: Expected squared-distance factor for four dimensions at that share: 0.75 / P(chi2(6) <= chi2(4).quantile(0.75)).
 CONSISTENCY = 1.486
 #: Added standard deviations, by statistic: no group is taken to vary less than this. Clean prose has almost no symbols, so theirs is small.
 FLOORS = (0.05, 0.05, 0.12, 0.08)
-#: Groups of fewer documents share one estimate for their language.
-LEAST_GROUP = 50
+#: An estimate leans on the wider group's as if it had so many documents of it.
+SHRINK = 20
 PRIOR = 50
 UNIT, SALTS = 1 << 16, 32
 _DIM = len(FLOORS)
@@ -92,11 +96,15 @@ def _distance() -> Column:
     return total
 
 
-def _quantile_bin(hist: DataFrame, keys: Sequence[str], share: float) -> DataFrame:
-    """The first bin at which ``share`` of a group's rows is reached; hist: keys, bin, n."""
-    w = Window.partitionBy(*keys)
-    h = hist.withColumns({"_upto": F.sum("n").over(w.orderBy("bin")), "_all": F.sum("n").over(w)})
-    return h.filter(F.col("_upto") >= F.col("_all") * share).groupBy(*keys).agg(F.min("bin").alias("bin"))
+_M, _C = [f"m{i}" for i in range(_DIM)], [f"c{i}{j}" for i, j in _PAIRS]
+_V = [f"v{i}" for i in range(_DIM)]
+
+
+def _factored(params: DataFrame) -> DataFrame:
+    """``params`` (.., c..) with the factor l.. and logdet."""
+    for name, value in _factor({(i, j): F.col(f"c{i}{j}") for i, j in _PAIRS}).items():
+        params = params.withColumn(name, value)
+    return params.withColumn("logdet", sum((F.log(f"l{i}{i}") for i in range(1, _DIM)), F.log("l00")) * 2.0)
 
 
 def _with(stats: DataFrame, params: DataFrame) -> DataFrame:
@@ -105,51 +113,94 @@ def _with(stats: DataFrame, params: DataFrame) -> DataFrame:
     return stats.join(salted, ["g", "_salt"])
 
 
-def estimates(stats: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """(g, m0.., l00..): location and factor of scatter for each group of ``stats`` (g, _salt, v0.. in units)."""
-    vs = [f"v{i}" for i in range(_DIM)]
-    long = stats.select("g", F.posexplode(F.array(*vs)).alias("dim", "v"))
+def _starts(stats: DataFrame) -> DataFrame:
+    """(g, start, m.., c..) from quantiles of histograms."""
+    long = stats.select("g", F.posexplode(F.array(*_V)).alias("dim", "v"))
     hist = long.groupBy("g", "dim", F.floor(F.col("v") / 256).alias("bin")).agg(F.count("*").alias("n"))
-    params = None
-    for name, q in (("lo", 0.25), ("mid", 0.5), ("hi", 0.75)):
-        b = _quantile_bin(hist, ["g", "dim"], q).select("g", "dim", ((F.col("bin") + 0.5) * 256 / UNIT).alias(name))
-        params = b if params is None else params.join(b, ["g", "dim"])
-    start = params.groupBy("g").agg(*[F.max(F.when(F.col("dim") == i, F.col("mid"))).alias(f"m{i}") for i in range(_DIM)], *[F.max(F.when(F.col("dim") == i, (F.col("hi") - F.col("lo")) / 1.349)).alias(f"s{i}") for i in range(_DIM)])
-    zero = F.lit(0.0)
-    params = start.select("g", *[f"m{i}" for i in range(_DIM)], *[(F.sqrt(F.col(f"s{i}") * F.col(f"s{i}") + FLOORS[i] ** 2) if i == j else zero).alias(f"l{i}{j}") for i, j in _PAIRS])
-    params = spool(params, "start")
-    bin_ = F.floor(F.log2(F.lit(1.0) + F.col("d2")) * 64).alias("bin")
-    for _ in range(steps):
-        placed = _with(stats, params).withColumn("d2", _distance()).select("g", "_salt", *vs, bin_)
-        limit = _quantile_bin(placed.groupBy("g", "bin").agg(F.count("*").alias("n")), ["g"], share).withColumnRenamed("bin", "_most")
-        core = _with(placed, spool(limit, "limit")).filter("bin <= _most")
-        total = lambda c: F.sum(c.cast("decimal(20,0)")).cast("double")
-        sums = core.groupBy("g").agg(F.count("*").alias("n"), *[total(F.col(v)).alias(f"t{i}") for i, v in enumerate(vs)], *[total(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"t{i}{j}") for i, j in _PAIRS])
-        n = F.col("n")
-        params = sums.select("g", "n", *[(F.col(f"t{i}") / n / UNIT).alias(f"m{i}") for i in range(_DIM)], *[F.col(f"t{i}{j}") for i, j in _PAIRS])
-        cov = {(i, j): (F.col(f"t{i}{j}") / n / float(UNIT) ** 2 - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENCY + (FLOORS[i] ** 2 if i == j else 0.0) for i, j in _PAIRS}
-        for name, value in _factor(cov).items():
-            params = params.withColumn(name, value)
-        params = spool(params.select("g", *[f"m{i}" for i in range(_DIM)], *[f"l{i}{j}" for i, j in _PAIRS]), "estimates")
-    return params
-
-
-def quality_rules(docs: DataFrame, share: float = SHARE, steps: int = STEPS, cutoff: float = CUTOFF) -> DataFrame:
+    w = Window.partitionBy("g", "dim")
+    hist = hist.withColumns({"_upto": F.sum("n").over(w.orderBy("bin")), "_all": F.sum("n").over(w)})
+    at = sorted({q for x in STARTS for q in x[:4]})
+    value = lambda q: (F.min(F.when(F.col("_upto") >= F.col("_all") * q, F.col("bin"))) + 0.5) * 256 / UNIT
+    quantiles = hist.groupBy("g", "dim").agg(*[value(q).alias(f"q{int(q * 100)}") for q in at])
+    q = lambda x: F.col(f"q{int(x * 100)}")
+    out = None
+    for k, (m1, m2, lo, hi, width, one) in enumerate(STARTS):
+        d = quantiles.select("g", "dim", ((q(m1) + q(m2)) / 2).alias("m"), ((q(hi) - q(lo)) / width).alias("s"))
+        of = lambda c, i: F.max(F.when(F.col("dim") == i, F.col(c)))
+        scale = lambda i: F.max("s") if one else of("s", i)  # noqa: B023, E731
+        d = d.groupBy("g").agg(*[of("m", i).alias(f"m{i}") for i in range(_DIM)], *[scale(i).alias(f"s{i}") for i in range(_DIM)])
+        cov = [(F.col(f"s{i}") * F.col(f"s{i}") + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS]
+        d = d.select("g", F.lit(k).alias("start"), *_M, *cov)
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+def _concentrated(stats: DataFrame, params: DataFrame, share: float) -> DataFrame:
+    """(g, start, m.., c..) of the share of each group that is nearest under ``params``, in one pass over ``stats``: sums are kept by bins of distance."""
+    placed = _with(stats, params).select("g", "start", "_salt", *_V, F.floor(F.log2(F.lit(1.0) + _distance()) * 64).alias("bin"))
+    names = [f"t{i}" for i in range(_DIM)] + [f"t{i}{j}" for i, j in _PAIRS]
+    terms = [F.col(v) for v in _V] + [F.col(f"v{i}") * F.col(f"v{j}") for i, j in _PAIRS]
+    # longs within a salt's bin, decimals over them: exact in any order
+    sums = placed.groupBy("g", "start", "bin", "_salt").agg(F.count("*").alias("n"), *[F.sum(t).alias(x) for t, x in zip(terms, names, strict=True)])
+    sums = sums.groupBy("g", "start", "bin").agg(F.sum("n").alias("n"), *[F.sum(F.col(x).cast("decimal(20,0)")).alias(x) for x in names])
+    w = Window.partitionBy("g", "start")
+    before = F.coalesce(F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    core = sums.withColumns({"_before": before, "_all": F.sum("n").over(w)}).filter(F.col("_before") < F.col("_all") * share)
+    core = core.groupBy("g", "start").agg(F.sum("n").alias("n"), *[F.sum(x).cast("double").alias(x) for x in names])
+    n = F.col("n")
+    core = core.select("g", "start", "n", *[(F.col(f"t{i}") / n / UNIT).alias(f"m{i}") for i in range(_DIM)], *[F.col(f"t{i}{j}") for i, j in _PAIRS])
+    cov = [((F.col(f"t{i}{j}") / n / float(UNIT) ** 2 - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENCY + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in _PAIRS]
+    return core.select("g", "start", *_M, *cov)
+
+
+def estimates(stats: DataFrame, share: float = SHARE) -> DataFrame:
+    """(g, m.., c..): location and scatter of least determinant for each group of ``stats`` (g, _salt, v0.. in units)."""
+    found = spool(_factored(_starts(stats)).withColumn("falls", F.lit(True)), "estimates")
+    new = [*_M, *_C, *[f"l{i}{j}" for i, j in _PAIRS], "logdet"]
+    for step in range(MOST_STEPS):
+        last, falling = found, found.filter("falls")
+        if not falling.take(1):
+            break
+        nearer = _factored(_concentrated(stats, falling.drop("falls", "logdet", *_C), share)).select("g", "start", *[F.col(c).alias(f"_{c}") for c in new])
+        # the starts themselves are no estimates: the first step always counts
+        better = F.coalesce(F.col("_logdet").isNotNull() if step == 0 else F.col("_logdet") < F.col("logdet"), F.lit(False))
+        falls = F.coalesce(F.lit(True) if step == 0 else F.col("_logdet") < F.col("logdet") - FALL, F.lit(False))
+        found = found.join(nearer, ["g", "start"], "left").select("g", "start", *[F.when(better, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in new], falls.alias("falls"))
+        found = spool(found, "estimates")
+        unspool(last)
+    return found.groupBy("g").agg(F.min_by(F.struct(*_M, *_C), F.struct("logdet", "start")).alias("p")).select("g", "p.*")
+
+
+def _leaning(own: DataFrame, wide: DataFrame) -> DataFrame:
+    """``own`` (g, up, n, m.., c..) with the estimates of ``wide`` (g as up) mixed in, as ``SHRINK`` documents of these."""
+    w = wide.select(F.col("g").alias("up"), *[F.col(c).alias(f"_{c}") for c in [*_M, *_C]])
+    n, k = F.col("n").cast("double"), float(SHRINK)
+    mean = [((n * F.col(m) + F.col(f"_{m}") * k) / (n + k)).alias(m) for m in _M]
+    cov = [((n * F.col(c) + F.col(f"_{c}") * k) / (n + k)).alias(c) for c in _C]
+    return own.join(w, "up").select("g", *mean, *cov)
+
+
+def quality_rules(docs: DataFrame, share: float = SHARE, cutoff: float = CUTOFF) -> DataFrame:
     """``base_statistics`` without lang and source, with distance2 (double) and kept, a row for each row of ``docs`` (doc_id, text, lang, source).
 
     A document that fails a base rule takes no part in the estimates and isn't kept; its distance is null. Null languages and sources are
-    groups too. Groups under 50 documents go by their language's small groups together; if those are as few, no outlier is called.
+    groups too. Columns of ``docs`` beyond these four are left out.
     """
-    keyed = base_statistics(docs.select("doc_id", "text", "lang", "source")).withColumns({f"v{i}": v for i, v in enumerate(_vector())})
+    keyed = base_statistics(docs.select("doc_id", "text", "lang", "source")).withColumns(dict(zip(_V, _vector(), strict=True)))
     name = lambda c: F.when(F.col(c).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(c)))
-    keyed = spool(keyed.withColumns({"_lang": name("lang"), "_source": name("source"), "_salt": F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")}).drop("lang", "source"), "statistics")
-    sizes = keyed.filter("not base_failed").groupBy("_lang", "_source").agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("g", F.when(F.col("n") >= LEAST_GROUP, F.to_json(F.array("_lang", "_source"))).otherwise(F.to_json(F.array("_lang"))))
-    groups = spool(sizes.withColumn("_n", F.sum("n").over(Window.partitionBy("g"))).filter(F.col("_n") >= LEAST_GROUP).select("_lang", "_source", "g"), "groups")
-    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    placed = keyed.join(salted, ["_lang", "_source", "_salt"], "left")
-    params = estimates(placed.filter("not base_failed and g is not null").select("g", "_salt", *[f"v{i}" for i in range(_DIM)]), share, steps)
+    levels = [F.to_json(F.array(name("lang"), name("source"))), F.to_json(F.array(name("lang"))), F.lit("[]")]
+    salt = F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")
+    keyed = spool(keyed.withColumns({"g": levels[0], "_lang": levels[1], "_salt": salt}).drop("lang", "source"), "statistics")
+    good = keyed.filter("not base_failed")
+    stats = good.select(F.explode(F.array("g", "_lang", levels[2])).alias("g"), "_salt", *_V)
+    found = spool(estimates(stats, share), "found")
+    sizes = good.groupBy("g", "_lang").agg(F.count("*").alias("n"))
+    by_lang = sizes.groupBy("_lang").agg(F.sum("n").alias("n")).select(F.col("_lang").alias("g"), F.lit("[]").alias("up"), "n")
+    langs = _leaning(by_lang.join(found, "g"), found)
+    params = _leaning(sizes.select("g", F.col("_lang").alias("up"), "n").join(found, "g"), langs)
+    params = spool(_factored(params).drop("logdet", *_C), "parameters")
+    unspool(found)
     salted = params.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = placed.join(salted, ["g", "_salt"], "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance()))
+    out = keyed.join(salted, ["g", "_salt"], "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(True))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance2")
