@@ -19,13 +19,15 @@ def brute(text):
         at = [i for i in range(len(w)) if w[i : i + len(p)] == p]
         places += at
         base |= {label} if at else set()
-    for line in (text or "").split("\n"):
-        b = set(toks(line))
-        for t, label in TEMPLATES.items():
-            s = set(t.split())
-            if len(s & b) >= ceil(THRESHOLD * len(s) - 1e-9):
+    for t, label in TEMPLATES.items():
+        s, n = set(t.split()), ceil(len(t.split()) / THRESHOLD - 1e-9)
+        if len(s.intersection(w)) < THRESHOLD * len(s) - 1e-9:
+            continue
+        for i in range(len(w)):
+            shared = len(s.intersection(w[i : i + n]))
+            if shared >= ceil(THRESHOLD * len(s) - 1e-9):
                 labels.add(label)
-                best = max(best, len(s & b) / len(s))
+                best = max(best, shared / len(s))
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 if places else best
 
 
@@ -53,6 +55,15 @@ def test_equals_brute_force(spark):
         assert got[i][:6] == want[:6] and abs(got[i][6] - want[6]) < 1e-12, t
 
 
+def test_wrapped_notices_are_found_and_scattered_words_are_not(spark):
+    notice = "# This work is licensed under a Creative\n#   Commons Attribution 4.0\n# International License."
+    words = "this work is licensed under a creative commons attribution 4 0 international license".split()
+    scattered = " ".join(f"{x} {' '.join(['lorem'] * 9)}" for x in words)
+    got = {r["doc_id"]: r for r in scan_licenses(spark.createDataFrame([(1, "x y\n" + notice), (2, scattered)], "doc_id long, text string")).collect()}
+    assert "cc-by" in got[1]["labels"].split(",") and got[1]["score"] == 1.0 and got[2]["labels"] == "" and got[2]["spans"] == []
+    assert [(s["word"], s["containment"]) for s in got[1]["spans"] if s["label"] == "cc-by"] == [(2, 1.0)]
+
+
 def test_repeats_and_empty_table(spark):
     d = spark.createDataFrame([(1, "under the mit license")] * 2 + [(None, None)], "doc_id long, text string")
     assert sorted(str((r["doc_id"], r["labels"])) for r in scan_licenses(d).collect()) == ["(1, 'mit')", "(1, 'mit')", "(None, '')"]
