@@ -23,9 +23,16 @@ PATTERNS = {
     "date": r"(?<![0-9./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?![0-9/-])",
     "ssn": r"(?<![0-9-])\d{3}-\d{2}-\d{4}(?![0-9-])",
     "ip": r"(?<![0-9.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?[0-9])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\.?[0-9])",
     "card": r"(?<![0-9A-Za-z])\d(?:[ -]?\d){12,18}(?![0-9])",
 }
+#: What card numbers start with, by issuers' ranges.
+ISSUER = r"^(?:4|5[0-8]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[04-9]|6(?:0|2|3|4[4-9]|5|7))"
+#: How long a bank account number of a country is.
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 "
+    "KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Days from 1900-01-01 to 2099-12-31 are 17 x 4297; valid social security numbers are 898 areas times 99 x 9999.
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
@@ -75,13 +82,24 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.reverse(F.split(digits, "")), each), F.lit(0), lambda a, x: a + x)
 
 
+def _is_card(d: Column) -> Column:
+    return F.length(d).between(13, 19) & d.rlike(ISSUER) & (_luhn(d) % 10 == 0)
+
+
 def _card(m: Column, key: str) -> Column:
+    """The issuer's digits stay, the account's are permuted, the check digit is set anew. Of digits with separators the longest start that is a number is taken."""
+    sound = lambda e: ((e == F.length(m)) | m.substr(e + 1, F.lit(1)).isin(" ", "-")) & _is_card(_digits(m.substr(F.lit(1), e)))
+
     def of(d: Column) -> Column:
-        payload = permute_digits(d.substr(F.lit(1), F.length(d) - 1), key, "card")
-        new = let(payload, lambda p: F.concat(p, ((10 - _luhn(F.concat(p, F.lit("0"))) % 10) % 10).cast("string")))
-        return F.when((_luhn(d) % 10 == 0) & d.rlike("[1-9]"), _refill(m, new))
+        head = F.regexp_extract(d, ISSUER, 0)
+        payload = F.concat(head, permute_digits(d.substr(F.length(head) + 1, F.length(d) - 1 - F.length(head)), key, "card"))
+        return let(payload, lambda p: F.concat(p, ((10 - _luhn(F.concat(p, F.lit("0"))) % 10) % 10).cast("string")))
+
+    def upto(e: Column) -> Column:
+        start = m.substr(F.lit(1), e)
+        return F.when(e.isNotNull(), F.concat(_refill(start, let(_digits(start), of)), m.substr(e + 1, F.length(m))))
 
-    return let(_digits(m), of)
+    return let(F.get(F.filter(F.sequence(F.length(m), F.lit(13), F.lit(-1)), sound), F.lit(0)), upto)
 
 
 def _mod97(x: Column) -> Column:
@@ -97,7 +115,8 @@ def _iban(m: Column, key: str) -> Column:
         new = let(_digits(body), lambda d: F.when(F.length(d) >= 4, _refill(body, permute_digits(d, key, "iban"))))
         full = let(new, lambda b: F.concat(head, F.lpad((98 - _mod97(F.concat(b, head, F.lit("00")))).cast("string"), 2, "0"), b))
         spaced = let(full, lambda f: F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c == " ", c).otherwise(f.substr(F.length(F.replace(m.substr(F.lit(1), i + 1), F.lit(" "), F.lit(""))), F.lit(1)))), ""))
-        return F.when(F.length(x).between(15, 34) & (_mod97(F.concat(body, x.substr(F.lit(1), F.lit(4)))) == 1), spaced)
+        right = F.array_contains(F.split(F.lit(IBAN_LENGTHS), " "), F.concat(head, F.length(x).cast("string")))
+        return F.when(right & (_mod97(F.concat(body, x.substr(F.lit(1), F.lit(4)))) == 1), spaced)
 
     return let(F.replace(m, F.lit(" "), F.lit("")), of)
 

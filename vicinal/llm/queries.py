@@ -43,7 +43,7 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    own = spark.createDataFrame([(-7, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     f = chat.format_chat(turns.unionByName(own))
     f = f.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     digest = F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").cast("binary"), 256)
@@ -60,7 +60,8 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pseudonymize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = pii.pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), key="documents-1")
+    # a deployment sets its own key; this one is for tables without persons
+    d = pii.pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), key=spark.conf.get("spark.vicinal.pii.key", "documents-1"))
     return d.select("doc_id", F.size("pii").cast("long").alias("n_pii"), F.array_join(F.array_sort(F.array_distinct(F.transform("pii", lambda x: x["kind"]))), ",").alias("kinds"), "text")
 
 
@@ -119,19 +120,18 @@ _OP9 = """
 with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
 w as (select rid, doc_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from d),
 p(phrase, label) as (values {phrases}),
-t(template, label, need) as (values {templates}),
+t(label, ts, need, width) as (values {templates}),
 b as (select rid, p.label, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len(string_split(phrase, ' '))] = string_split(phrase, ' '))) as "at" from w, p where list_has_all(w, string_split(phrase, ' '))),
 base as (select rid, count(*) as n, min("at") as a, max("at") as z, string_agg(distinct label, ',' order by label) as labels, list(distinct label) as ls from b group by rid),
-l as (select rid, list_distinct(regexp_extract_all(translate(unnest(string_split(text, chr(10))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) as s from w where list_has_any(w, {vocabulary})),
-m as (select rid, t.label, len(list_intersect(s, string_split(template, ' '))) / len(list_distinct(string_split(template, ' '))) as c from l, t where len(list_intersect(s, string_split(template, ' '))) >= need),
+c as (select rid, label, ts, need, width, w, unnest(range(len(w))) as s from w, t where len(list_intersect(w, ts)) >= need),
+m as (select rid, label, len(list_intersect(w[s + 1 : s + width], ts)) / len(ts) as c from c where len(list_intersect(w[s + 1 : s + width], ts)) >= need),
 near as (select rid, max(c) as c, list(distinct label) as ls from m group by rid)
 select doc_id, len(w)::BIGINT as n_words, coalesce(base.n, 0)::BIGINT as n_base, base.a::BIGINT as first_word, base.z::BIGINT as last_word, coalesce(base.labels, '') as base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base.ls, []), coalesce(near.ls, [])))), ',') as labels, case when base.n > 0 then 1.0 else coalesce(near.c, 0.0) end::DOUBLE as score
 from w left join base using (rid) left join near using (rid)
 """.format(
     phrases=", ".join(f"('{p}', '{x}')" for p, x in license.PHRASES.items()),
-    templates=", ".join(f"('{t}', '{x}', {ceil(license.THRESHOLD * len(set(t.split())) - 1e-9)})" for t, x in license.TEMPLATES.items()),
-    vocabulary=sorted({x for t in license.TEMPLATES for x in t.split()}),
+    templates=", ".join(f"('{x}', {sorted(set(t.split()))}, {ceil(license.THRESHOLD * len(set(t.split())) - 1e-9)}, {license.width(t, license.THRESHOLD)})" for t, x in license.TEMPLATES.items()),
 )
 
 ORACLE_SQL: dict[str, str] = {"op1_mix_sources": _OP1, "op5_format_chat": _OP5, "op9_license_scan": _OP9}
