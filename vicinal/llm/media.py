@@ -145,23 +145,27 @@ def to_media(docs: DataFrame, level: int = 1) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(lambda it: _encoded(it, level), "doc_id long, n_bytes long, media binary")
 
 
-_OUT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, low_hash binary"
+_OUT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, low_hash binary, error string"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in parts(batches, text=2):
         rows = []
         for media in batch.column(2).to_pylist():
-            samples = decode(media)
+            try:
+                samples = decode(media or b"")
+            except MediaError as e:
+                rows.append((None, None, None, len(media or b""), hashlib.sha256(media or b"").hexdigest(), None, str(e)))
+                continue
             payload = samples.tobytes()
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), low_hash(samples)))
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), low_hash(samples), None))
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
         cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=[c.split()[0] for c in _OUT.split(", ")])
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Digests and the cosine hash of what ``to_media`` stored, from the stored bytes. A stream that is not sound raises MediaError."""
+    """Digests and the cosine hash of what ``to_media`` stored, from the stored bytes. A stream that is not sound has an error, and nulls for what is within it."""
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_features, _OUT)
 
 
