@@ -25,8 +25,8 @@ BANDS, ROWS = 32, 4  # a pair of similarity 0.75 shares no band with probability
 SEED = 20240229
 #: Signatures agreeing in fewer places than this belong to pairs under the threshold: 6 standard deviations below it.
 SLACK = 6
-#: Shingles in a block of documents that are compared with another block's at once.
-BLOCK = 60_000
+#: Shingles, and documents, in a block that is compared with another block at once.
+BLOCK, BLOCK_DOCS = 60_000, 2_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -202,7 +202,8 @@ def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs`` (doc_id, text).
 
-    Null and empty texts have no shingles and stand alone. Rows that repeat a doc_id are one document. A row without doc_id is kept
+    Null and empty texts have no shingles and stand alone. Rows of one doc_id and one set are one document; where a doc_id has several sets
+    and is the smallest of their classes, these classes are one. A row without doc_id is kept
     and in no component. Other columns are left out. Links between candidates are exact; a pair at the threshold
     is a candidate with probability 1 - 5e-6.
     """
@@ -222,9 +223,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     placed = members.join(roots, members["id"] == roots["node"], "left").select("band", "id", "n", F.coalesce("root", "id").alias("root"))
     parts = placed.groupBy("band", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
-    torn = parts.groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("_parts"), (F.sum("n") - F.max_by("n", F.struct("c", "root"))).alias("rest")).filter("_parts > 1")
+    torn = parts.groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("n").alias("all"), F.sum("c").alias("all_docs"), F.count("*").alias("_parts"), (F.sum("n") - F.max_by("n", F.struct("c", "root"))).alias("rest"), (F.sum("c") - F.max("c")).alias("rest_docs")).filter("_parts > 1")
     left = placed.join(torn, "band").join(sets, "id")
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    blocks = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.ceil(F.col(f"{c}_docs") / BLOCK_DOCS)).cast("int")
     own = lambda c: F.pmod(F.xxhash64("id"), blocks(c)).cast("int")
     every = lambda c: F.sequence(F.lit(0), blocks(c) - 1)
     met = F.concat(F.transform(every("rest"), lambda j: F.struct(F.lit(0).alias("side"), own("all").alias("i"), j.alias("j"))), F.when(F.col("root") != F.col("main"), F.transform(every("all"), lambda i: F.struct(F.lit(1).alias("side"), i.alias("i"), own("rest").alias("j")))).otherwise(F.array().cast("array<struct<side:int,i:int,j:int>>")))
