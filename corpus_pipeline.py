@@ -20,11 +20,11 @@ LEAST_SCORE = 0.35
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is seen; those without a letter and those in no learned language go. A null label becomes the prediction."""
+    """Documents whose language is seen; those without a letter and those in no learned language go. A null label becomes the prediction. Without any label every document with a letter stays."""
     docs = docs.select(*COLUMNS)
     model = langid.fit(docs)
-    if model is None:
-        return docs.limit(0)
+    if model is None:  # nothing to learn from: only what has no letter is sure to be in no language
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     d = langid.identify(docs, model, keep=COLUMNS[1:])
     kept = d.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return kept.select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
@@ -39,13 +39,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near duplicates."""
+    """One document, that of the smallest doc_id, of each group of near duplicates. Rows without doc_id and texts without words stay."""
     gone = neardup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents, repeated or left out so that each source has its share of the words."""
+    """Documents, repeated or left out so that each source has its share of the words. A null source is a source; null texts have no words and count as documents."""
     return mixing.mix(docs.select(*COLUMNS))
 
 
