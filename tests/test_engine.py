@@ -11,7 +11,7 @@ from vicinal.functions import distance
 from vicinal.functions.features import MCC_RISK, clamp, part_key, quantize, quantize_int8, quantized, vectorize
 from vicinal.operators import evaluate, ivf, knn
 from vicinal.schema import DIM, PAYLOAD
-from vicinal.sources import generators, readers, store
+from vicinal.sources import build, generators, readers, store
 from vicinal.streaming.scoring import score_payloads, stream_scores
 
 Q = knn.Q
@@ -117,12 +117,13 @@ def brute(refs, queries, k=5):
     return out
 
 
-@pytest.mark.parametrize("n,q,clustered", [(200, 300, True), (1500, 400, False), (2500, 400, True)])
+@pytest.mark.parametrize("n,q,clustered", [(200, 2000, True), (4000, 4000, False), (6000, 6000, True)])
 def test_all_plans_equal_brute_force(spark, n, q, clustered):
     refs = generators.points(spark, n, clustered=clustered).cache()
-    queries = generators.queries(refs, min(n, q)).cache()
+    queries = generators.queries(refs, q).cache()
+    assert queries.count() == q
     want = brute(refs.collect(), queries.collect())
-    for plan in (knn.neighbours, knn.neighbours_blocked, knn.neighbours_pruned):
+    for plan in (knn.neighbours, knn.neighbours_blocked, knn.neighbours_pruned, knn.neighbours_partitioned):
         got = {}
         for r in plan(refs.repartition(5), queries).orderBy("query_id", "rank").collect():
             got.setdefault(r["query_id"], []).append((r["ref_id"], r["label"], r["d2"]))
@@ -156,7 +157,7 @@ def test_many_queries_go_in_blocks(spark, monkeypatch):
     refs = generators.points(spark, 300)
     queries = generators.queries(refs, 60)
     want = {(q, r[0]) for q, rs in brute(refs.collect(), queries.collect()).items() for r in rs}
-    for plan in (knn.neighbours_blocked, knn.neighbours):
+    for plan in (knn.neighbours_blocked, knn.neighbours, knn.neighbours_pruned):
         assert {(r["query_id"], r["ref_id"]) for r in plan(refs, queries).collect()} == want
 
 
@@ -166,7 +167,8 @@ def test_hot_partitions_meet_in_blocks(spark, monkeypatch):
     refs = generators.points(spark, 1500).withColumn("q9", F.lit(0)).withColumn("q10", F.lit(0)).withColumn("q11", F.lit(0))
     queries = generators.queries(refs, 200).withColumn("q9", F.lit(0)).withColumn("q10", F.lit(0)).withColumn("q11", F.lit(0))
     want = {(q, r[0]) for q, rs in brute(refs.collect(), queries.collect()).items() for r in rs}
-    assert {(r["query_id"], r["ref_id"]) for r in knn.neighbours_pruned(refs, queries).collect()} == want
+    for plan in (knn.neighbours_pruned, knn.neighbours_partitioned):
+        assert {(r["query_id"], r["ref_id"]) for r in plan(refs, queries).collect()} == want
 
 
 def test_verdict_json(spark):
@@ -208,6 +210,8 @@ def test_index_round_trip_and_wrong_index(spark, tmp_path):
     rows = [{"vector": [round(rng.random(), 4) for _ in range(14)], "label": rng.choice(["fraud", "legit"])} for _ in range(100)]
     (tmp_path / "r.json").write_text(json.dumps(rows))
     assert store.build_index(spark, str(tmp_path / "r.json"), str(tmp_path / "index")) == 100
+    assert build.main(["--in", str(tmp_path / "r.json"), "--out", str(tmp_path / "again")]) == 100
+    assert store.load_knn(spark, str(tmp_path / "again"))[0].count() == 100
     refs, boxes = store.load_knn(spark, str(tmp_path / "index"))
     want = store.quantize_references(readers.read_references(spark, str(tmp_path / "r.json")))
     cols = ["ref_id", "label", "part_key", *Q]
@@ -218,7 +222,10 @@ def test_index_round_trip_and_wrong_index(spark, tmp_path):
 
 
 def test_entries_and_confusion(spark, payloads, tmp_path):
-    entries = [{"request": p, "expected_approved": (None, True, False)[i % 3]} for i, p in enumerate(payloads[:30])]
+    (tmp_path / "odd.json").write_text('{"entries": [{"request": ')
+    with pytest.raises(Exception, match="FAILFAST|Malformed|MALFORMED"):
+        readers.read_entries(spark, str(tmp_path / "odd.json")).collect()
+    entries = [{"request": p, "expected_approved": (None if i % 2 else "no", True, False)[i % 3]} for i, p in enumerate(payloads[:30])]
     (tmp_path / "e.json").write_text(json.dumps({"entries": entries}))
     d = readers.read_entries(spark, str(tmp_path / "e.json"))
     assert d.filter("expected_approved").count() == 20
@@ -264,7 +271,10 @@ def test_cells(spark, tmp_path):
     assert sum(len(r["ids"]) for r in ivf.inverted_lists(a).collect()) == 1000
     far = spark.createDataFrame([(99, [9.0] * DIM)], "cell int, centroid array<double>").unionByName(c.select("cell", c["centroid"].cast("array<double>").alias("centroid")))
     assert ivf.update(ivf.assign(p, far), far).filter("cell = 99").first()["centroid"] == [9.0] * DIM
-    assert ivf.sampled_centroids(p, 8, 3).count() == 8
+    drawn = [r["centroid"] for r in ivf.sampled_centroids(p, 8, 3).collect()]
+    assert len(drawn) == 8 and all(any(list(v) == x for v in vec.values()) for x in drawn)
+    many = ivf.sampled_centroids(p, 3000, 3)
+    assert many.count() == 3000 and 900 < many.distinct().count() and many.select("centroid").distinct().count() < 1000
 
 
 def test_generators(spark):
@@ -282,8 +292,9 @@ def test_stream_equals_batch(spark, payloads, tmp_path):
     for k in range(3):
         (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps(p) for p in payloads[k * 20 : k * 20 + 20]) + '\n{"id": "broken"}\n')
     seen = {}
-    q = stream_scores(spark, str(tmp_path / "in"), refs, lambda votes, k: seen.update({r["query_id"]: r["frauds"] for r in votes.collect()}), str(tmp_path / "log"), once=True)
+    q = stream_scores(spark, str(tmp_path / "in"), refs, lambda votes, k: seen.update({r["query_id"]: r["frauds"] for r in votes.collect()}), str(tmp_path / "log"), once=True, rejected=lambda bad, k: readers.write_rejected(bad, str(tmp_path / "bad")))
     q.awaitTermination()
+    assert sorted((r["id"], r["error"]) for r in spark.read.json(str(tmp_path / "bad")).collect()) == [("broken", "transaction.amount")] * 3
     batch = spark.read.schema(PAYLOAD).json(str(tmp_path / "in"))
     assert seen == {r["query_id"]: r["frauds"] for r in score_payloads(batch, refs, "pruned").collect()} and len(seen) == 60
 

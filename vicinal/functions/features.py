@@ -6,6 +6,7 @@ missing field makes the row invalid (``payload_error``) instead of being read pa
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,8 @@ def quantize(x: Column) -> Column:
 
 
 def quantize_int8(x: Column) -> Column:
-    return (F.expr("cast(1 as int)") * F.floor(F.abs(x * 254.0)) * F.signum(x) - 127).cast("tinyint")
+    """Towards zero, then down by 127; what a byte has no room for is an error."""
+    return ((x * 254.0).cast("int") - 127).cast("tinyint")
 
 
 def round4(x: Column) -> Column:
@@ -105,3 +107,11 @@ def part_key(q: str = "q") -> Column:
     bit = lambda cond, b: F.when(cond, 1 << b).otherwise(0)
     risk = F.when(c(12) <= 2047, 0).when(c(12) <= 4095, 1).when(c(12) <= 6143, 2).otherwise(3)
     return (bit(c(5) >= 0, 0) + bit(c(9) > 0, 1) + bit(c(10) > 0, 2) + bit(c(11) > 0, 3) + risk * 16 + bit(c(2) > 4096, 6) + bit(c(8) > 2048, 7)).cast("int")
+
+
+def part_keys(points: np.ndarray) -> np.ndarray:
+    """``part_key`` of quantized vectors that are rows of an array."""
+    c = points.T
+    risk = (c[12] > 2047).astype(np.int64) + (c[12] > 4095) + (c[12] > 6143)
+    flags = ((c[5] >= 0, 1), (c[9] > 0, 2), (c[10] > 0, 4), (c[11] > 0, 8), (c[2] > 4096, 64), (c[8] > 2048, 128))
+    return risk * 16 + sum((f.astype(np.int64) * b for f, b in flags), np.zeros(len(points), np.int64))

@@ -19,11 +19,19 @@ def first_centroids(points: DataFrame, cells: int) -> DataFrame:
 
 
 def sampled_centroids(points: DataFrame, cells: int, seed: int) -> DataFrame:
-    """(cell, centroid): points drawn with replacement, by a hash of id and seed."""
-    n = points.count()
-    picks = points.sparkSession.range(cells).select(F.col("id").cast("int").alias("cell"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("_at"))
-    ranked = points.select("vec", (F.row_number().over(Window.orderBy(F.xxhash64("id"), "id")) - 1).alias("_at"))
-    return picks.join(ranked, "_at").select("cell", F.col("vec").alias("centroid"))
+    """(cell, centroid): points drawn with replacement, by a hash of id and seed.
+
+    Points are numbered in the order of their ids' hashes: 4096 blocks of it are counted and summed up, and numbers are given within a block.
+    """
+    p = points.select("id", "vec", F.xxhash64("id").alias("_h")).withColumn("_block", F.shiftright("_h", 52))
+    blocks = p.groupBy("_block").agg(F.count("*").alias("_n"))
+    blocks = blocks.withColumn("_to", F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    n = blocks.agg(F.max("_to").alias("_all"))
+    picks = points.sparkSession.range(cells).join(n, how="cross").select(F.col("id").cast("int").alias("cell"), F.pmod(F.xxhash64("id", F.lit(seed)), F.col("_all")).alias("_at"))
+    picks = picks.join(F.broadcast(blocks), (F.col("_at") < F.col("_to")) & (F.col("_at") >= F.col("_to") - F.col("_n")))
+    picks = picks.select("cell", "_block", (F.col("_at") - F.col("_to") + F.col("_n") + 1).alias("_rank"))
+    ranked = p.join(F.broadcast(picks.select("_block").distinct()), "_block").withColumn("_rank", F.row_number().over(Window.partitionBy("_block").orderBy("_h", "id")).cast("bigint"))
+    return picks.join(ranked, ["_block", "_rank"]).select("cell", F.col("vec").alias("centroid"))
 
 
 def assign(points: DataFrame, centroids: DataFrame) -> DataFrame:

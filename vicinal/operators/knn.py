@@ -1,10 +1,11 @@
 """The k nearest labelled references of each query, exactly, and the vote over them.
 
-Order is total everywhere: distance, then label, then ref_id. Four plans give it. ``neighbours`` is declarative: queries are
+Order is total everywhere: distance, then label, then ref_id. Five plans give it. ``neighbours`` is declarative: queries are
 broadcast in blocks and references stream by, each task keeping k for a query before the shuffle. ``neighbours_blocked`` does the same with
-a matrix product for each batch of references; a batch whose box is farther than what a query has found is skipped.
-``neighbours_pruned`` lets blocks of a partition's references and queries meet, a query's own partition first, then those others whose box is no farther than the k-th distance found.
-``neighbours_fast`` skips the others where k references are within a radius; it can differ from the exact result.
+a matrix product for each block of references; a block whose box is farther than what a query has found is skipped.
+``neighbours_pruned`` looks among the references of a query's own partition first, and then into those other blocks whose box is no farther
+than the k-th distance found. ``neighbours_partitioned`` does so for any number of queries, which then meet the references in blocks of
+their partition. ``neighbours_fast`` skips the others where k references are within a radius; it can differ from the exact result.
 """
 
 from __future__ import annotations
@@ -20,14 +21,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinal.functions.distance import box_bound, squared
-from vicinal.functions.features import part_key
+from vicinal.functions.features import part_key, part_keys
 from vicinal.schema import DIM, K
+from vicinal.sources.interim import written
 
 #: Five references within this squared distance settle a query in the fast mode.
 NEAR = 1400 * 1400
 #: The bytes of queries up to which they are broadcast.
 BROADCAST_BYTES = 32 << 20
 REF_BLOCK, QUERY_BLOCK = 50_000, 5_000
+#: References under one box, and queries in one matrix product.
+LEAF, ROWS = 1024, 512
 Q = [f"q{i}" for i in range(DIM)]
 _FOUND = pa.schema([("query_id", pa.int64()), ("ref_id", pa.int64()), ("label", pa.int32()), ("d2", pa.int64())])
 SCORES = ("0", "0.2", "0.4", "0.6", "0.8", "1")
@@ -42,64 +46,107 @@ def _renamed(queries: DataFrame, dims: Sequence[str]) -> DataFrame:
     return queries.select("query_id", *[F.col(c).alias(f"{c}_q") for c in dims])
 
 
-def neighbours(refs: DataFrame, queries: DataFrame, k: int = K, dims: Sequence[str] = Q, kind: str = "bigint") -> DataFrame:
+def neighbours(refs: DataFrame, queries: DataFrame, k: int = K, dims: Sequence[str] = Q, kind: str = "bigint", digits: int | None = None) -> DataFrame:
     """(query_id, ref_id, label, d2, rank) from refs (ref_id, label, dims) and a stated set of queries (query_id, dims).
 
-    The queries are counted first and go to the tasks in blocks of 32 MB at most, each of which meets all references.
+    The queries are counted first and go to the tasks in blocks of 32 MB at most, each of which meets all references. Distances are
+    rounded to ``digits``, if given: sums of doubles are then the same in any order.
     """
+    d2 = squared(dims, [f"{c}_q" for c in dims], kind)
+    d2 = d2 if digits is None else F.round(d2, digits)
     q = _renamed(queries, dims)
     n = max(1, ceil(q.count() * 8 * (len(dims) + 1) / BROADCAST_BYTES))
     found = None
     for i in range(n):
         block = q if n == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
         pairs = refs.select("ref_id", "label", *dims).join(F.broadcast(block), how="cross")
-        top = _top(pairs.select("query_id", "ref_id", "label", squared(dims, [f"{c}_q" for c in dims], kind).alias("d2")), k)
+        top = _top(pairs.select("query_id", "ref_id", "label", d2.alias("d2")), k)
         found = top if found is None else found.unionByName(top)
     return found
 
 
-def _kernel(batches: Iterator[pa.RecordBatch], ids: np.ndarray, points: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """The k best references of a task for each query. Sums of 14 products of quantized numbers are exact in doubles."""
-    n = len(ids)
+def _improve(best: list[np.ndarray], some: np.ndarray, d: np.ndarray, label: np.ndarray, ref: np.ndarray, k: int) -> None:
+    """Merge the k best columns of ``d`` (queries ``some`` x references in order of label and ref) into ``best`` (distances, labels, references)."""
+    m = d.shape[1]
+    take = np.argpartition(d * m + np.arange(m), k - 1, axis=1)[:, :k] if m > k else np.broadcast_to(np.arange(m), d.shape)
+    merged = [np.concatenate([b[some], v], axis=1) for b, v in zip(best, (np.take_along_axis(d, take, 1), label[take], ref[take]), strict=True)]
+    order = np.lexsort((merged[2], merged[1], merged[0]), axis=1)[:, :k]
+    for b, v in zip(best, merged, strict=True):
+        b[some] = np.take_along_axis(v, order, 1)
+
+
+def _leaves(x: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
+    """Rows of equal ``key`` in groups of ``LEAF`` at most, cut along their widest dimension again and again."""
+    order = np.argsort(key, kind="stable")
+    out, todo = [], np.split(order, np.flatnonzero(np.diff(key[order])) + 1)
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= LEAF:
+            out.append(rows)
+            continue
+        part = x[rows]
+        wide = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
+        halves = np.argpartition(part[:, wide], len(rows) // 2)
+        todo += [rows[halves[: len(rows) // 2]], rows[halves[len(rows) // 2 :]]]
+    return out
+
+
+def _kernel(batches: Iterator[pa.RecordBatch], ids: np.ndarray, points: np.ndarray, k: int, keys: np.ndarray | None = None, limit: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """The k best references of a task for each query. Sums of 14 products of quantized numbers are exact in doubles.
+
+    With ``keys``, the queries' part_keys, references of the same key alone count; with ``limit`` too, those of other keys alone, and only
+    up to that distance. Batches have ref_id, label, the dimensions, and part_key last where ``keys`` are given.
+    """
+    n, far = len(ids), np.iinfo(np.int64).max
     norms = (points**2).sum(axis=1)
-    best = [np.full((n, k), np.iinfo(np.int64).max), np.zeros((n, k), np.int64), np.full((n, k), np.iinfo(np.int64).max)]
+    best = [np.full((n, k), far), np.zeros((n, k), np.int64), np.full((n, k), far)]
+    most = np.full(n, far) if limit is None else limit
     for batch in batches:
-        ref, label = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
-        x = np.column_stack([c.to_numpy() for c in batch.columns[2:]]).astype(np.float64)
-        if not len(ref):
+        if not batch.num_rows:
             continue
-        order = np.lexsort((ref, label))
-        ref, label, x = ref[order], label[order], x[order]
-        low, high = x.min(axis=0), x.max(axis=0)
-        bound = (np.maximum(np.maximum(low - points, points - high), 0) ** 2).sum(axis=1)
-        for at in range(0, n, 256):
-            some = at + np.flatnonzero(bound[at : at + 256] <= best[0][at : at + 256, -1])
-            if not len(some):
-                continue
-            d = np.rint(norms[some, None] + (x * x).sum(axis=1)[None] - 2 * points[some] @ x.T).astype(np.int64)
-            m = min(k, d.shape[1])
-            limit = np.partition(d, m - 1, axis=1)[:, m - 1]
-            rows, cols = np.nonzero(d <= np.minimum(limit, best[0][some, -1])[:, None])
-            for r in np.unique(rows):
-                c, i = cols[rows == r], some[r]
-                merged = [np.concatenate([b[i], v]) for b, v in zip(best, (d[r, c], label[c], ref[c]), strict=True)]
-                keep = np.lexsort((merged[2], merged[1], merged[0]))[:k]
-                for b, v in zip(best, merged, strict=True):
-                    b[i] = v[keep]
-    real = best[0] < np.iinfo(np.int64).max
+        ref, label = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+        key = np.zeros(len(ref), np.int64) if keys is None else batch.columns[-1].to_numpy().astype(np.int64)
+        x = np.column_stack([c.to_numpy() for c in batch.columns[2 : 2 + points.shape[1]]]).astype(np.float64)
+        for rows in _leaves(x, key):
+            rows = rows[np.lexsort((ref[rows], label[rows]))]
+            part, own = x[rows], key[rows[0]]
+            if keys is None:
+                asked = np.arange(n)
+            else:
+                asked = np.flatnonzero(keys == own if limit is None else (keys != own) & (limit >= 0))
+            low, high = part.min(axis=0), part.max(axis=0)
+            at = points[asked]
+            bound = (np.maximum(np.maximum(low - at, at - high), 0) ** 2).sum(axis=1)
+            asked = asked[bound <= np.minimum(best[0][asked, -1], most[asked])]
+            sums = (part * part).sum(axis=1)
+            for start in range(0, len(asked), ROWS):
+                some = asked[start : start + ROWS]
+                d = np.rint(norms[some, None] + sums[None] - 2 * points[some] @ part.T).astype(np.int64)
+                better = d.min(axis=1) <= np.minimum(best[0][some, -1], most[some])
+                if better.any():
+                    _improve(best, some[better], d[better], label[rows], ref[rows], k)
+    real = best[0] < far
     cols = [np.repeat(ids[:, None], k, axis=1)[real], best[2][real], best[1][real].astype(np.int32), best[0][real]]
     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_FOUND)
 
 
-def neighbours_blocked(refs: DataFrame, queries: DataFrame, k: int = K, dims: Sequence[str] = Q) -> DataFrame:
-    """As ``neighbours``, by matrix products. Queries up to 32 MB go to all tasks; more meet the references by partition, in a join."""
-    limit = BROADCAST_BYTES // (8 * (len(dims) + 1))
-    rows = queries.select("query_id", *dims).limit(limit + 1).toPandas()
-    if len(rows) > limit:
-        return neighbours_pruned(refs, queries, k)
-    ids, points = rows["query_id"].to_numpy(np.int64), rows[list(dims)].to_numpy(np.float64)
-    shared = refs.sparkSession.sparkContext.broadcast((ids, points))
-    found = refs.select("ref_id", F.col("label").cast("int").alias("label"), *dims).mapInArrow(lambda it: _kernel(it, *shared.value, k), "query_id long, ref_id long, label int, d2 long")
+_ROW = "query_id long, ref_id long, label int, d2 long"
+
+
+def _few(queries: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Ids and points of the queries if they are within ``BROADCAST_BYTES``."""
+    limit = BROADCAST_BYTES // (8 * (DIM + 1))
+    rows = queries.select("query_id", *Q).limit(limit + 1).toPandas()
+    return None if len(rows) > limit else (rows["query_id"].to_numpy(np.int64), rows[Q].to_numpy(np.float64))
+
+
+def neighbours_blocked(refs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+    """As ``neighbours`` over q0..q13, by matrix products. Queries up to 32 MB go to all tasks; more meet the references by partition, in a join."""
+    few = _few(queries)
+    if few is None:
+        return neighbours_partitioned(refs, queries, k)
+    shared = refs.sparkSession.sparkContext.broadcast(few)
+    found = refs.select("ref_id", F.col("label").cast("int").alias("label"), *Q).mapInArrow(lambda it: _kernel(it, *shared.value, k), _ROW)
     return _top(found, k)
 
 
@@ -136,20 +183,20 @@ def _within(refs: DataFrame, queries: DataFrame, zone: DataFrame, k: int) -> Dat
     q = queries.select("part_key", "query_id", *Q).join(F.broadcast(sizes), "part_key")
     q = q.withColumn("_j", own("query_id", "_nj")).withColumn("_i", spread("_ni")).drop("_ni", "_nj")
     tasks = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: few bytes, but much work in each block
-    found = r.repartition(tasks, *at).groupBy(*at).cogroup(q.repartition(tasks, *at).groupBy(*at)).applyInArrow(_meet(k), "query_id long, ref_id long, label int, d2 long")
+    found = r.repartition(tasks, *at).groupBy(*at).cogroup(q.repartition(tasks, *at).groupBy(*at)).applyInArrow(_meet(k), _ROW)
     return _top(found, k).drop("rank")
 
 
-def neighbours_pruned(refs: DataFrame, queries: DataFrame, k: int = K, near: int | None = None) -> DataFrame:
-    """As ``neighbours``, by way of partitions. Boxes at the very distance of the k-th are looked into: a tie there may come first in our order.
+def neighbours_partitioned(refs: DataFrame, queries: DataFrame, k: int = K, near: int | None = None) -> DataFrame:
+    """As ``neighbours_pruned``, for any number of queries: blocks of references and queries of a partition meet in a join.
 
-    With ``near``, a query that has k references of its own partition within that squared distance looks no further.
+    What both phases read is written to the shared folder.
     """
     refs = refs if "part_key" in refs.columns else refs.withColumn("part_key", part_key())
-    q = queries.select("query_id", *Q).withColumn("part_key", part_key())
-    refs, q = refs.persist(), q.persist()  # each is read by both phases
-    zone = boxes(refs).persist()
-    home = _within(refs, q, zone, k).persist()
+    refs = written(refs.select("ref_id", "label", "part_key", *Q), "references")
+    q = written(queries.select("query_id", *Q).withColumn("part_key", part_key()), "queries")
+    zone = written(boxes(refs), "boxes")
+    home = written(_within(refs, q, zone, k), "home")
     limit = home.groupBy("query_id").agg(F.when(F.count("*") == k, F.max("d2")).alias("limit"))
     todo = q.join(limit, "query_id", "left")
     if near is not None:
@@ -160,6 +207,35 @@ def neighbours_pruned(refs: DataFrame, queries: DataFrame, k: int = K, near: int
     return _top(home.unionByName(away), k)
 
 
+def neighbours_pruned(refs: DataFrame, queries: DataFrame, k: int = K, near: int | None = None) -> DataFrame:
+    """As ``neighbours``, by way of partitions. Boxes at the very distance of the k-th are looked into: a tie there may come first in our order.
+
+    With ``near``, a query that has k references of its own partition within that squared distance looks no further. Queries up to 32 MB
+    go to all tasks, twice: references are not shuffled. More go by ``neighbours_partitioned``.
+    """
+    few = _few(queries)
+    if few is None:
+        return neighbours_partitioned(refs, queries, k, near)
+    refs = refs if "part_key" in refs.columns else refs.withColumn("part_key", part_key())
+    refs = refs.select("ref_id", F.col("label").cast("int").alias("label"), *Q, "part_key")
+    spark, (ids, points) = refs.sparkSession, few
+    keys = part_keys(points)
+    first = spark.sparkContext.broadcast((ids, points, keys))
+    # as many rows as the queries have neighbours, which are few
+    home = _top(refs.mapInArrow(lambda it: _kernel(it, first.value[0], first.value[1], k, first.value[2]), _ROW), k).drop("rank").toPandas()
+    place = {int(x): i for i, x in enumerate(ids)}
+    n, limit = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+    rows = home["query_id"].map(place).to_numpy(np.int64)
+    np.add.at(n, rows, 1)
+    np.maximum.at(limit, rows, home["d2"].to_numpy(np.int64))
+    limit = np.where(n < k, np.iinfo(np.int64).max, limit)
+    if near is not None:
+        limit = np.where(limit <= near, -1, limit)
+    second = spark.sparkContext.broadcast((ids, points, keys, limit))
+    away = refs.mapInArrow(lambda it: _kernel(it, second.value[0], second.value[1], k, *second.value[2:]), _ROW)
+    return _top(away.unionByName(spark.createDataFrame(home, _ROW)), k)
+
+
 def neighbours_fast(refs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     return neighbours_pruned(refs, queries, k, NEAR)
 

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinal.functions.distance import box_bound
-from vicinal.functions.features import MCC_RISK, OTHER_RISK, quantize, quantize_int8, round4
+from vicinal.functions.features import MCC_RISK, OTHER_RISK, quantize, quantize_int8, quantized, round4
 from vicinal.operators import evaluate, ivf, knn
 from vicinal.plans import transactions as tx
 from vicinal.schema import DIM
+from vicinal.sources.interim import folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,6 +102,13 @@ def int8_quantize(spark, sf_dir):
     return e.select("vec_id", F.col("i").cast("bigint").alias("i"), quantize_int8(F.abs(F.col("x").cast("double"))).cast("int").alias("b"))
 
 
+@_query("select event_id, (trunc(x * 254) - 127)::INT as b from (select event_id, (event_id % 201 - 100) / 200.0::DOUBLE as x from events) where x * 254 >= -1")
+def int8_quantize_signed(spark, sf_dir):
+    """Of numbers on both sides of zero, as far as a byte has room: what is within one unit below zero becomes -127."""
+    x = tx.table(spark, sf_dir, "events").select("event_id", ((F.col("event_id") % 201 - 100) / 200.0).alias("x")).filter("x * 254 >= -1")
+    return x.select("event_id", quantize_int8(F.col("x")).cast("int").alias("b"))
+
+
 @_query(_with("select part_key, count(*) as n from k group by 1"))
 def partition_key_hist(spark, sf_dir):
     return tx.references(spark, sf_dir).groupBy("part_key").agg(F.count("*").alias("n"))
@@ -118,20 +124,21 @@ def zone_map(spark, sf_dir):
 
 @_query(_with(_BOXES + " select s.query_id, b.part_key, (" + " + ".join(f"greatest(lo_q{i} - s.q{i}, s.q{i} - hi_q{i}, 0)::BIGINT * greatest(lo_q{i} - s.q{i}, s.q{i} - hi_q{i}, 0)" for i in range(DIM)) + ")::BIGINT as bound from k s, b where s.query_id % 20 = 0"))
 def bbox_lower_bound(spark, sf_dir):
-    zone = knn.boxes(tx.references(spark, sf_dir))  # 256 rows at most
-    j = tx.queries(spark, sf_dir).join(F.broadcast(zone), how="cross")
+    refs, queries = tx.search_sets(spark, sf_dir)
+    zone = knn.boxes(refs)  # 256 rows at most
+    j = queries.join(F.broadcast(zone), how="cross")
     return j.select("query_id", "part_key", box_bound(Q, [f"lo_{q}" for q in Q], [f"hi_{q}" for q in Q]).alias("bound"))
 
 
 @_query(_with(_NEAR + _NEIGHBOURS))
 def knn_neighbors(spark, sf_dir):
-    found = knn.neighbours(tx.references(spark, sf_dir), tx.queries(spark, sf_dir))
+    found = knn.neighbours(*tx.search_sets(spark, sf_dir))
     return found.select("query_id", "ref_id", "label", "d2", F.col("rank").cast("bigint").alias("rank"))
 
 
 def _classified(mode: str) -> Query:
     def run(spark, sf_dir):
-        return knn.classify(tx.references(spark, sf_dir), tx.queries(spark, sf_dir), mode)
+        return knn.classify(*tx.search_sets(spark, sf_dir), mode)
 
     run.__name__ = {"exact": "knn_exact", "pruned": "knn_pruned"}[mode]
     return run
@@ -149,7 +156,7 @@ votes as (select query_id, sum(label)::BIGINT as frauds from n group by 1) """
 
 @_query(_with(_FAST + _VOTES))
 def knn_fast(spark, sf_dir):
-    return knn.classify(tx.references(spark, sf_dir), tx.queries(spark, sf_dir), "fast")
+    return knn.classify(*tx.search_sets(spark, sf_dir), "fast")
 
 
 _EMB = "with e as (select vec_id, embedding, label from embeddings), "
@@ -185,7 +192,8 @@ def verdict_json(spark, sf_dir):
 @_query(_with(_NEAR.replace("from k r, s", "from (select * from k order by query_id limit 3) r, s") + "select s.query_id, coalesce(frauds, 0) as frauds, coalesce(frauds, 0) < 3 as approved, coalesce(frauds, 0)::DOUBLE / 5 as fraud_score from s left join votes using (query_id)"))
 def short_reference_set(spark, sf_dir):
     """What is asked for is a set of fewer references than neighbours, the three first ones."""
-    return knn.classify(tx.references(spark, sf_dir).orderBy("ref_id").limit(3), tx.queries(spark, sf_dir), "declarative")
+    refs, queries = tx.search_sets(spark, sf_dir)
+    return knn.classify(refs.orderBy("ref_id").limit(3), queries, "declarative")
 
 
 def _points(spark, sf_dir):
@@ -323,8 +331,9 @@ _SCORED = ", j as (select frauds < 3 as got, k.label = 0 as want from votes join
 
 
 def _scored(spark, sf_dir):
-    truth = tx.payloads(spark, sf_dir).select("query_id", (F.col("label") == 0).alias("expected_approved"))
-    return QUERIES["knn_exact"](spark, sf_dir).join(truth, "query_id")
+    refs, queries = tx.search_sets(spark, sf_dir)
+    truth = refs.select(F.col("ref_id").alias("query_id"), (F.col("label") == 0).alias("expected_approved"))
+    return knn.classify(refs, queries).join(truth, "query_id")
 
 
 @_query(_with(_NEAR + _SCORED + "select * from m"))
@@ -347,16 +356,23 @@ _BOTH = _FAST + ", n2 as (select * from (select *, row_number() over (partition
 
 @_query(_with(_BOTH + "select count(*) as queries, count(*) filter ((a.frauds < 3) != (b.frauds < 3)) as decisions_differ, count(*) filter (a.frauds != b.frauds) as votes_differ from votes a join votes2 b using (query_id)"))
 def mode_agreement(spark, sf_dir):
-    return evaluate.agreement(QUERIES["knn_fast"](spark, sf_dir), QUERIES["knn_exact"](spark, sf_dir))
+    refs, queries = tx.search_sets(spark, sf_dir)
+    return evaluate.agreement(knn.classify(refs, queries, "fast"), knn.classify(refs, queries))
 
 
-@_query()
+_FIDELITY = _NEAR + ", f as (select query_id, label, " + ", ".join(f"round({x} * 10000) / 10000 as {x}" for x in V) + """ from v), fs as (select * from f where query_id % 20 = 0),
+nf as (select * from (select *, row_number() over (partition by query_id order by d2, label, ref_id) as rank from (select s.query_id, r.query_id as ref_id, r.label, round(""" + " + ".join(f"(r.{x} - s.{x}) * (r.{x} - s.{x})" for x in V) + """, 8) as d2 from f r, fs s)) where rank <= 5)
+select count(*) as places, count(*) filter (a.ref_id is distinct from b.ref_id) as differ from n a full join nf b on a.query_id = b.query_id and a.rank = b.rank"""
+
+
+@_query(_with(_FIDELITY))
 def quantization_fidelity(spark, sf_dir):
-    """How many places of the five nearest differ between rounded doubles and integers. Rows only: sums of doubles differ between engines."""
-    v = tx.vectors(spark, sf_dir).select(F.col("query_id").alias("ref_id"), "label", *[round4(F.col(x)).alias(x) for x in V])
-    q = v.filter("ref_id % 20 = 0").drop("label").withColumnRenamed("ref_id", "query_id")
-    near = knn.neighbours(v, q, dims=V, kind="double")
-    return evaluate.order_agreement(near, knn.neighbours(tx.references(spark, sf_dir), tx.queries(spark, sf_dir)))
+    """How many places of the five nearest differ between rounded doubles and integers. Distances are rounded to what four digits can give."""
+    v = written(tx.vectors(spark, sf_dir), "vectors")
+    refs = quantized(v).withColumnRenamed("query_id", "ref_id")
+    d = v.select(F.col("query_id").alias("ref_id"), "label", *[round4(F.col(x)).alias(x) for x in V])
+    q = d.filter("ref_id % 20 = 0").drop("label").withColumnRenamed("ref_id", "query_id")
+    return evaluate.order_agreement(knn.neighbours(d, q, dims=V, kind="double", digits=8), knn.neighbours(refs, tx.queries_of(refs)))
 
 
 @_query(_with(_NEAR + _VOTES))
@@ -364,11 +380,49 @@ def index_round_trip(spark, sf_dir):
     """The exact votes from an index that was written and read back."""
     from vicinal.sources import store
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='vicinal-index-')}"
-    path = f"{folder}/index-{uuid.uuid4().hex}"
+    path = folder(spark, "index")
     store.save_knn(tx.references(spark, sf_dir), path)
     refs, _ = store.load_knn(spark, path)
-    return knn.classify(refs, tx.queries(spark, sf_dir))
+    return knn.classify(refs, tx.queries_of(refs))
+
+
+@_query(_IVF + " select query_id, id, label, rank from f")
+def ivf_round_trip(spark, sf_dir):
+    """The search of cells that were written and read back."""
+    from vicinal.sources import store
+
+    p = _points(spark, sf_dir)
+    c = ivf.first_centroids(p, CELLS)
+    path = folder(spark, "ivf")
+    store.save_ivf(ivf.assign(p, c), c, path)
+    cells, centroids = store.load_ivf(spark, path)
+    q = cells.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
+    return ivf.search(cells, centroids, q, probes=PROBES).select("query_id", "id", "label", F.col("rank").cast("bigint").alias("rank"))
+
+
+@_query(_with("select label::INT as label, count(*) as n, " + ", ".join(f"sum({q})::BIGINT as {q}" for q in Q) + " from q group by 1"))
+def reference_files(spark, sf_dir):
+    """References written as lines of JSON, read back with checks and quantized."""
+    from vicinal.sources import readers, store
+
+    path = folder(spark, "reference-files")
+    tx.vectors(spark, sf_dir).select(F.array(*V).alias("vector"), F.when(F.col("label") == 1, "fraud").otherwise("legit").alias("label")).write.json(path)
+    d = store.quantize_references(readers.read_references(spark, path, lines=True))
+    return d.groupBy("label").agg(F.count("*").alias("n"), *[F.sum(F.col(q).cast("bigint")).alias(q) for q in Q])
+
+
+@_query(_with("select case o_orderkey % 4 when 1 then 'transaction.amount' when 2 then 'merchant.mcc' when 3 then 'transaction.requested_at' else '' end as error, count(*) as n from t group by 1"))
+def payload_errors(spark, sf_dir):
+    """Payloads of which three in four lack a field, as JSON, parsed and split into good and bad rows."""
+    from vicinal.sources import readers
+
+    p = tx.payloads(spark, sf_dir)
+    k = F.col("query_id") % 4
+    amount = F.col("transaction").withField("amount", F.when(k != 1, F.col("transaction.amount"))).withField("requested_at", F.when(k != 3, F.col("transaction.requested_at")).otherwise("yesterday"))
+    p = p.withColumns({"transaction": amount, "merchant": F.col("merchant").withField("mcc", F.when(k != 2, F.col("merchant.mcc")))})
+    texts = p.select(F.to_json(F.struct("id", "transaction", "customer", "merchant", "terminal", "last_transaction")).alias("value"))
+    good, bad = readers.split_valid(readers.parse_payloads(texts))
+    return good.select(F.lit("").alias("error")).unionByName(bad.select("error")).groupBy("error").agg(F.count("*").alias("n"))
 
 
 @_query(_with(_NEAR + _VOTES))
@@ -376,10 +430,9 @@ def streaming_score(spark, sf_dir):
     """Payloads written as JSON lines, read as a stream, scored batch by batch, against all references."""
     from vicinal.streaming.scoring import stream_scores
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='vicinal-stream-')}"
-    base = f"{folder}/stream-{uuid.uuid4().hex}"
+    base = folder(spark, "stream")
     tx.payloads(spark, sf_dir).filter("query_id % 20 = 0").drop("query_id", "label").write.json(f"{base}/in")
-    refs = tx.references(spark, sf_dir)
+    refs = written(tx.references(spark, sf_dir), "references")
     query = stream_scores(spark, f"{base}/in", refs, lambda votes, k: votes.write.mode("overwrite").parquet(f"{base}/out/batch={k}"), f"{base}/log", once=True)
     query.awaitTermination()
     out = spark.read.parquet(f"{base}/out")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vicinal.functions.features import MCC_RISK, part_key, quantized, vectorize
+from vicinal.schema import DIM
+from vicinal.sources.interim import written
 
 #: Merchants go round the categories, and one that has no risk of its own.
 CATEGORIES = [*MCC_RISK, "0000"]
@@ -60,9 +62,15 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantized(vectors(spark, sf_dir)).withColumnRenamed("query_id", "ref_id").withColumn("part_key", part_key())
 
 
-def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, q0..q13): the search's stated set, every order whose key is divisible by 20."""
-    return quantized(vectors(spark, sf_dir)).drop("label").filter("query_id % 20 = 0")
+def queries_of(refs: DataFrame) -> DataFrame:
+    """(query_id, q0..q13): the search's stated set, every reference whose id is divisible by 20."""
+    return refs.filter("ref_id % 20 = 0").select(F.col("ref_id").alias("query_id"), *[f"q{i}" for i in range(DIM)])
+
+
+def search_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(references, queries) of a table that is built once."""
+    refs = written(references(spark, sf_dir), "references")
+    return refs, queries_of(refs)
 
 
 #: The same as SQL: common tables t (payload fields), v (vectors) and q (quantized).

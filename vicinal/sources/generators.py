@@ -55,9 +55,10 @@ def points(spark: SparkSession, n: int, seed: int = 1, clustered: bool = True) -
 
 
 def queries(refs: DataFrame, n: int, seed: int = 9) -> DataFrame:
-    """(query_id, q0..q13): a third are copies of references, a third are up to 100 off (not in dimensions 5 and 6), a third are new."""
+    """(query_id, q0..q13): ref_ids are 0 to their count; a third are copies of references, a third are up to 100 off (not in dimensions 5 and 6), a third are new."""
     spark = refs.sparkSession
-    base = refs.select("ref_id", *[f"q{i}" for i in range(DIM)]).filter(F.col("ref_id") < n).withColumnRenamed("ref_id", "id")
+    many = refs.count()
+    base = spark.range(n).withColumn("ref_id", F.col("id") % max(many, 1)).join(refs.select("ref_id", *[f"q{i}" for i in range(DIM)]), "ref_id").drop("ref_id")
     off = lambda i: (F.floor(_uniform(seed, "off", i) * 201) - 100).cast("int")
     near = [F.when((F.col("id") % 3 == 1) & F.lit(i not in (5, 6)), F.greatest(F.lit(-10000), F.least(F.lit(10000), F.col(f"q{i}") + off(i)))).otherwise(F.col(f"q{i}")).cast("smallint").alias(f"q{i}") for i in range(DIM)]
     old = base.filter("id % 3 < 2").select(F.col("id").alias("query_id"), *near)
