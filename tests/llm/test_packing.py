@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tests.llm.data import SCHEMA, rows
-from vicinal.llm.packing import WordIds, pack, slots, solve
+from vicinal.llm.packing import WordIds, _inverse, pack, slots, solve
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -54,6 +54,13 @@ def brute_bins(demand, capacity):
     return best[0]
 
 
+def test_inverse():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 9, (60, 60)) + np.diag(rng.integers(1, 9, 60)) * 1.0
+    a[0, 0] = 0
+    assert np.allclose(_inverse(a) @ a, np.eye(60), atol=1e-8)
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_patterns_hold_the_demand_in_few_sequences(seed):
     rng = random.Random(seed)

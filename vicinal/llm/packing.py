@@ -170,6 +170,26 @@ def _knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[flo
     return best[capacity], pattern
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """By Gauss and Jordan with row exchanges. The library's routine has been seen to wait forever for its threads beside a busy JVM."""
+    n = len(a)
+    m = np.concatenate([a, np.eye(n)], axis=1)
+    for i in range(n):
+        p = i + int(np.abs(m[i:, i]).argmax())
+        if p != i:
+            m[[i, p]] = m[[p, i]]
+        m[i] /= m[i, i]
+        factor = m[:, i].copy()
+        factor[i] = 0
+        m -= factor[:, None] * m[i][None, :]
+    return m[:, n:]
+
+
+def _times(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """a @ x without the library's threads."""
+    return (a * x[None, :]).sum(axis=1)
+
+
 def solve(demand: dict[int, int], capacity: int, most: int = MOST_COLUMNS) -> list[tuple[dict[int, int], int]]:
     """Patterns ({class: times}, count) that hold each class exactly as often as demanded, in nearly the fewest sequences."""
     sizes = np.array(sorted(c for c, n in demand.items() if n > 0), np.int64)
@@ -183,7 +203,7 @@ def solve(demand: dict[int, int], capacity: int, most: int = MOST_COLUMNS) -> li
         value, column = _knapsack(sizes, inverse.sum(axis=0), capacity)
         if value <= 1 + 1e-7:
             break
-        u = inverse @ column
+        u = _times(inverse, column)
         ratio = np.where(u > 1e-9, np.maximum(x, 0) / np.where(u > 1e-9, u, 1), np.inf)
         out = int(ratio.argmin())
         pivot = inverse[out] / u[out]
@@ -193,10 +213,10 @@ def solve(demand: dict[int, int], capacity: int, most: int = MOST_COLUMNS) -> li
         x[out] = ratio[out]
         columns[:, out] = column
         if step % 200 == 199:  # errors of many pivots
-            inverse = np.linalg.inv(columns)
-            x = inverse @ d
+            inverse = _inverse(columns)
+            x = _times(inverse, d)
     counts = np.floor(np.maximum(x, 0) + 1e-7)
-    while ((left := d - columns @ counts) < -0.5).any():  # a count that rounding raised
+    while ((left := d - _times(columns, counts)) < -0.5).any():  # a count that rounding raised
         counts[int(np.argmax(counts * (columns[int(np.argmin(left))] > 0)))] -= 1
     out_ = [({int(c): int(a) for c, a in zip(sizes, columns[:, p], strict=True) if a}, int(n)) for p, n in enumerate(counts) if n > 0]
     bins: list[tuple[list[int], int]] = []
