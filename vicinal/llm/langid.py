@@ -196,8 +196,11 @@ def sample(docs: DataFrame, rows: int = SAMPLE, excerpts: int = EXCERPTS) -> lis
     """
     mark = F.xxhash64(F.col("doc_id"), F.lit("language"))
     d = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    share = d.groupBy("lang").agg((F.lit(3.0 * rows) / F.count("*")).alias("_share"))
-    d = d.join(share, "lang").filter((F.pmod(mark, F.lit(1 << 20)) / float(1 << 20) < F.col("_share")) & F.col("text").rlike(r"\p{L}"))
+    counts = d.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each label: as few as the model's outputs
+    if not counts:
+        return []
+    share = F.create_map(*[F.lit(x) for r in sorted(counts) for x in (r["lang"], min(1.0, 3.0 * rows / r["n"]))])
+    d = d.filter((F.pmod(mark, F.lit(1 << 20)) / float(1 << 20) < share[F.col("lang")]) & F.col("text").rlike(r"\p{L}"))
     at = lambda k: F.pmod(F.xxhash64(F.col("doc_id"), F.lit(k)), F.greatest(F.length("text") - SPAN, F.lit(1))).cast("int") + 1
     d = d.select("lang", mark.alias("_mark"), F.array(*[F.substring(F.col("text"), at(k), SPAN) for k in range(excerpts)]).alias("x"))
     d = d.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_mark", "x"))).filter(F.col("_rank") <= rows)
