@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import threading
-import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
@@ -16,6 +14,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vicinal.sources.interim import dropped, work_dir, written  # noqa: F401
+
 #: The six ASCII white-space characters, as a Java regular expression.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -34,23 +34,6 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset and all run on this machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='vicinal-')}"
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
-
-
-def _files(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
 _LOCK, _WRITING = threading.Lock(), []
 
 
@@ -76,22 +59,13 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     Its shuffle files go when the table is written, instead of when the driver happens to collect its garbage. The table goes by
     ``unspool``, at the latest when the application ends.
     """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    files, at = _files(spark, path)
-    files.deleteOnExit(at)
-    with _cleaning(spark):
-        df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._spooled_at = path
-    return out
+    with _cleaning(df.sparkSession):
+        return written(df, name)
 
 
 def unspool(*tables: DataFrame) -> None:
     """Delete what ``spool`` wrote, once nothing that is still to be computed reads it."""
-    for df in tables:
-        files, at = _files(df.sparkSession, df._spooled_at)
-        files.delete(at, True)
+    dropped(*tables)
 
 
 def prefix_sums(df: DataFrame, keys: Sequence[str], block: Sequence[str], order: Sequence[Column], measure: Column, out: str, extra: DataFrame | None = None) -> DataFrame:

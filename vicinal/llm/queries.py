@@ -8,7 +8,9 @@ from math import ceil
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinal.llm import chat, langid, license, linededup, media, mixing, neardup, packing, pii, quality
+from vicinal.llm import chat, hardneg, langid, license, linededup, media, mixing, neardup, packing, phrases, pii, quality, warc
+from vicinal.llm.common import unspool
+from vicinal.sources.interim import delete
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +75,25 @@ def op10_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("removed")
 
 
+def op11_mine_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    h = hardneg.hard_negatives(e, F.col("vec_id") % 100 == 0)
+    return h.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op13_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, folder = warc.write_archives(_table(spark, sf_dir, "pages"))
+    out = warc.resolved(warc.read_records(index, payload=False))  # reads the archives, so that they can go
+    unspool(index)
+    delete(spark, folder)
+    return out
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pseudonymize": op8_pseudonymize,
     "op9_license_scan": op9_license_scan,
     "op10_dedup_lines": op10_dedup_lines,
+    "op11_mine_phrases": op11_mine_phrases,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_warc_archives": op13_warc_archives,
     "pipeline": pipeline,
 }
 
@@ -134,4 +158,37 @@ from w left join base using (rid) left join near using (rid)
     templates=", ".join(f"('{x}', {sorted(set(t.split()))}, {ceil(license.THRESHOLD * len(set(t.split())) - 1e-9)}, {license.width(t, license.THRESHOLD)})" for t, x in license.TEMPLATES.items()),
 )
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": _OP1, "op5_format_chat": _OP5, "op9_license_scan": _OP9}
+_OP11 = r"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+p as (select lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w from d),
+g as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) as phrase from p, (values (1), (2), (3)) s(k) where len(w) >= k),
+f as (select lang, k, phrase, count(*) as f from g group by 1, 2, 3),
+n as (select lang, sum(f)::BIGINT as n from f where k = 1 group by 1),
+c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from f where k > 1 and f >= 10),
+u as (select lang, array_to_string(w[1:2], ' ') as phrase, a from c where k = 3 union all select lang, array_to_string(w[2:3], ' '), a from c where k = 3),
+x as (select lang, phrase, max(a) as longer from u group by 1, 2),
+t as (select c.*, j from c left join x using (lang, phrase), (values (1), (2)) s(j) where j < k and (longer is null or 100 * longer < 50 * a)),
+s as (select t.lang, t.phrase, t.a, j, l.f as l, r.f as r, ((1000000::HUGEINT * t.a * t.a) // (l.f::HUGEINT * r.f))::BIGINT as score from t
+  join f l on l.lang = t.lang and l.phrase = array_to_string(w[1:j], ' ') and l.k = j join f r on r.lang = t.lang and r.phrase = array_to_string(w[j + 1 :], ' ') and r.k = t.k - j),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1)
+select lang, rank, phrase, a, l, r, n, score from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from b) join n using (lang) where rank <= 2000
+"""
+
+_OP12 = """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, a.label as own, r.vec_id, r.label, list_inner_product(a.v, r.v)::BIGINT as score from e a, e r where a.vec_id % 100 = 0 and r.vec_id != a.vec_id),
+p as (select anchor_id, own, vec_id as positive_id, score as positive_score, row_number() over (partition by anchor_id order by score desc, vec_id) as place from s where label = own qualify place <= 5),
+n as (select p.anchor_id, positive_id, positive_score, vec_id as negative_id, score as negative_score, row_number() over (partition by p.anchor_id, place order by score desc, vec_id) as rank
+  from p join s on p.anchor_id = s.anchor_id and s.label != p.own and 80 * positive_score <= 100 * score and score <= positive_score)
+select anchor_id, positive_id, rank::INT as rank, negative_id, positive_score, negative_score from n where rank <= 5
+"""
+
+_OP13 = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+g as (select page_id, strlen(h)::BIGINT as payload_bytes, sha1(h) as payload_digest, max(page_id) over (partition by h) as last from p),
+r as (select *, payload_bytes >= 1000 and last is not null and (page_id is null or page_id < last) as again from g)
+select page_id, payload_bytes, payload_digest, case when again then 'revisit' else 'response' end as record_type, case when again then last end as refers_to from r
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": _OP1, "op5_format_chat": _OP5, "op9_license_scan": _OP9, "op11_mine_phrases": _OP11, "op12_hard_negatives": _OP12, "op13_warc_archives": _OP13}
