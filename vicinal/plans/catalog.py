@@ -400,15 +400,42 @@ def ivf_round_trip(spark, sf_dir):
     return ivf.search(cells, centroids, q, probes=PROBES).select("query_id", "id", "label", F.col("rank").cast("bigint").alias("rank"))
 
 
-@_query(_with("select label::INT as label, count(*) as n, " + ", ".join(f"sum({q})::BIGINT as {q}" for q in Q) + " from q group by 1"))
+_SUMS = "select label::INT as label, count(*) as n, " + ", ".join(f"sum({q})::BIGINT as {q}" for q in Q) + " from q group by 1"
+
+
+def _reference_texts(spark, sf_dir):
+    """(vector, label) as reference files have them."""
+    return tx.vectors(spark, sf_dir).select(F.array(*V).alias("vector"), F.when(F.col("label") == 1, "fraud").otherwise("legit").alias("label"))
+
+
+def _sums(refs):
+    from vicinal.sources import store
+
+    return store.quantize_references(refs).groupBy("label").agg(F.count("*").alias("n"), *[F.sum(F.col(q).cast("bigint")).alias(q) for q in Q])
+
+
+@_query(_with(_SUMS))
 def reference_files(spark, sf_dir):
     """References written as lines of JSON, read back with checks and quantized."""
-    from vicinal.sources import readers, store
+    from vicinal.sources import readers
 
     path = folder(spark, "reference-files")
-    tx.vectors(spark, sf_dir).select(F.array(*V).alias("vector"), F.when(F.col("label") == 1, "fraud").otherwise("legit").alias("label")).write.json(path)
-    d = store.quantize_references(readers.read_references(spark, path, lines=True))
-    return d.groupBy("label").agg(F.count("*").alias("n"), *[F.sum(F.col(q).cast("bigint")).alias(q) for q in Q])
+    _reference_texts(spark, sf_dir).write.json(path)
+    return _sums(readers.read_references(spark, path, lines=True))
+
+
+#: Small enough for several ranges, so tasks, in each file of the small tables too.
+ARRAY_RANGE = 1 << 18
+
+
+@_query(_with(_SUMS))
+def reference_arrays(spark, sf_dir):
+    """References written as JSON arrays and read back by byte ranges, several tasks to a file."""
+    from vicinal.sources import arrays, readers
+
+    path = folder(spark, "reference-arrays", make=True)
+    written(arrays.write_json_arrays(_reference_texts(spark, sf_dir), path), "files")
+    return _sums(readers.read_references(spark, path, range_bytes=ARRAY_RANGE))
 
 
 @_query(_with("select case o_orderkey % 4 when 1 then 'transaction.amount' when 2 then 'merchant.mcc' when 3 then 'transaction.requested_at' else '' end as error, count(*) as n from t group by 1"))
