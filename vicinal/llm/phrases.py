@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from vicinal.llm.common import parts, ship, spool, unspool
 
-#: Words of a shard: a task holds some 100 bytes for each.
-SHARD = 4_000_000
+#: Words of a shard: a task holds some 200 bytes for each.
+SHARD = 1_000_000
 #: Bits of the Bloom filter; it is broadcast, 16 MB.
 BITS = 1 << 27
 _COUNT = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
