@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vicinal.functions import distance
 from vicinal.functions.features import MCC_RISK, clamp, part_key, quantize, quantize_int8, quantized, vectorize
 from vicinal.operators import evaluate, ivf, knn
-from vicinal.schema import DIM, PAYLOAD
+from vicinal.schema import DIM
 from vicinal.sources import build, generators, readers, store
 from vicinal.streaming.scoring import score_payloads, stream_scores
 
@@ -97,6 +97,27 @@ def test_negative_gap_and_missing_fields(spark, payloads):
     assert sorted(r["error"] for r in bad.collect()) == ["customer.known_merchants", "merchant.mcc", "terminal.is_online", "transaction.amount", "transaction.requested_at"]
 
 
+@pytest.mark.parametrize("path,value,error", [
+    ("transaction.installments", 3.0, None), ("transaction.installments", 3.9, None), ("transaction.installments", "3", "transaction.installments"), ("transaction.amount", 12, None), ("transaction.amount", "12", "transaction.amount"),
+    ("transaction.amount", True, "transaction.amount"), ("customer.tx_count_24h", 2.5, None), ("customer.known_merchants", "m1", "customer.known_merchants"), ("customer.known_merchants", ["m1", 2], "customer.known_merchants"),
+    ("customer.known_merchants", ["m1", None], "customer.known_merchants"), ("customer.known_merchants", [], None), ("merchant.mcc", 5411, "merchant.mcc"), ("terminal.is_online", "true", "terminal.is_online"), ("terminal.is_online", 1, "terminal.is_online"),
+    ("last_transaction", 5, "last_transaction.timestamp"), ("last_transaction", None, None), ("last_transaction.km_from_current", "9", "last_transaction.km_from_current"), ("transaction", [1], "transaction.amount"), ("id", 7, None),
+])
+def test_coercions(spark, payloads, path, value, error):
+    p = json.loads(json.dumps(next(x for x in payloads if x["last_transaction"])))
+    *outer, last = path.split(".")
+    (p[outer[0]] if outer else p)[last] = value
+    r = frame(spark, [p]).withColumn("e", readers.payload_error()).first()
+    assert r["e"] == error
+    if error is None and last in ("installments", "tx_count_24h"):
+        assert r[outer[0]][last] == int(value)
+
+
+def test_texts_that_are_no_payload(spark):
+    d = readers.parse_payloads(spark.createDataFrame([(x,) for x in ("", "[", "7", "null", '{"a": 1', None)], "value string"))
+    assert [r["error"] for r in readers.split_valid(d)[1].collect()] == ["transaction.amount"] * 6
+
+
 def test_part_key_and_boxes(spark):
     d = generators.points(spark, 3000).withColumn("part_key", part_key())
     for r in d.limit(300).collect():
@@ -295,7 +316,7 @@ def test_stream_equals_batch(spark, payloads, tmp_path):
     q = stream_scores(spark, str(tmp_path / "in"), refs, lambda votes, k: seen.update({r["query_id"]: r["frauds"] for r in votes.collect()}), str(tmp_path / "log"), once=True, rejected=lambda bad, k: readers.write_rejected(bad, str(tmp_path / "bad")))
     q.awaitTermination()
     assert sorted((r["id"], r["error"]) for r in spark.read.json(str(tmp_path / "bad")).collect()) == [("broken", "transaction.amount")] * 3
-    batch = spark.read.schema(PAYLOAD).json(str(tmp_path / "in"))
+    batch = readers.read_payloads(spark, str(tmp_path / "in"), lines=True)
     assert seen == {r["query_id"]: r["frauds"] for r in score_payloads(batch, refs, "pruned").collect()} and len(seen) == 60
 
 

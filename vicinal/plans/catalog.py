@@ -452,6 +452,41 @@ def payload_errors(spark, sf_dir):
     return good.select(F.lit("").alias("error")).unionByName(bad.select("error")).groupBy("error").agg(F.count("*").alias("n"))
 
 
+_COERCED = """select case o_orderkey % 8 when 1 then 'transaction.installments' when 3 then 'terminal.is_online' when 5 then 'customer.known_merchants' when 7 then 'merchant.id' else '' end as error,
+count(*) as n, sum(case when o_orderkey % 8 in (0, 2, 4, 6) then items end)::BIGINT as installments, sum(case when o_orderkey % 8 in (0, 2, 4, 6) then floor(cents / 6000) end)::BIGINT as amounts from t group by 1"""
+
+
+@_query(_with(_COERCED))
+def payload_coercions(spark, sf_dir):
+    """Payloads with integers for numbers and numbers for integers, which are taken, and with strings for numbers and booleans, which aren't."""
+    from vicinal.sources import readers
+
+    p = tx.payloads(spark, sf_dir)
+    k = F.col("query_id") % 8
+    t = lambda name: F.col(f"transaction.{name}")
+    either = lambda when, odd, usual: F.when(when, F.to_json(F.struct(odd.alias("x")))).otherwise(F.to_json(F.struct(usual.alias("x"))))
+    bare = lambda c: F.regexp_extract(c, r'^\{"x":(.*)\}$', 1)
+    fields = {
+        "amount": either(k == 2, F.floor(t("amount")).cast("bigint"), F.floor(t("amount")).cast("double")),
+        "installments": F.when(k == 1, either(F.lit(True), t("installments").cast("string"), t("installments"))).when(k == 4, either(F.lit(True), t("installments") + 0.75, t("installments"))).otherwise(either(k == 6, t("installments").cast("double"), t("installments"))),
+        "online": either(k == 3, F.col("terminal.is_online").cast("string"), F.col("terminal.is_online")),
+        "known": either(k == 5, F.array(F.lit(7)), F.col("customer.known_merchants")),
+        "merchant": either(k == 7, F.lit(7), F.col("merchant.id")),
+    }
+    f = {n: bare(c) for n, c in fields.items()}
+    rest = lambda *names: F.regexp_extract(F.to_json(F.struct(*names)), r"^\{(.*)\}$", 1)
+    text = F.concat(
+        F.lit('{"transaction":{"amount":'), f["amount"], F.lit(',"installments":'), f["installments"], F.lit(","), rest(t("requested_at")),
+        F.lit('},"customer":{"known_merchants":'), f["known"], F.lit(","), rest(F.col("customer.avg_amount"), F.col("customer.tx_count_24h")),
+        F.lit('},"merchant":{"id":'), f["merchant"], F.lit(","), rest(F.col("merchant.mcc"), F.col("merchant.avg_amount")),
+        F.lit('},"terminal":{"is_online":'), f["online"], F.lit(","), rest(F.col("terminal.card_present"), F.col("terminal.km_from_home")), F.lit('},"last_transaction":null}'),
+    )
+    good, bad = readers.split_valid(readers.parse_payloads(p.select(text.alias("value"))))
+    none = F.lit(None).cast("bigint")
+    d = good.select(F.lit("").alias("error"), t("installments").alias("i"), F.floor(t("amount")).alias("a")).unionByName(bad.select("error", none.alias("i"), none.alias("a")))
+    return d.groupBy("error").agg(F.count("*").alias("n"), F.sum("i").alias("installments"), F.sum("a").alias("amounts"))
+
+
 @_query(_with(_NEAR + _VOTES))
 def streaming_score(spark, sf_dir):
     """Payloads written as JSON lines, read as a stream, scored batch by batch, against all references."""

@@ -13,5 +13,5 @@ PAYLOAD = T.StructType([
     T.StructField("last_transaction", T.StructType([T.StructField("timestamp", T.StringType()), T.StructField("km_from_current", T.DoubleType())])),
 ])
 REFERENCE = T.StructType([T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("label", T.StringType())])
-ENTRIES = T.StructType([T.StructField("entries", T.ArrayType(T.StructType([T.StructField("request", PAYLOAD), T.StructField("expected_approved", T.StringType())])))])
+ENTRIES = T.StructType([T.StructField("entries", T.ArrayType(T.StructType([T.StructField("request", T.VariantType()), T.StructField("expected_approved", T.VariantType())])))])
 VERDICT = T.StructType([T.StructField("approved", T.BooleanType()), T.StructField("fraud_score", T.DoubleType())])

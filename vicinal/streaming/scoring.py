@@ -9,8 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vicinal.functions.features import quantized, vectorize
 from vicinal.operators import knn
-from vicinal.schema import PAYLOAD
-from vicinal.sources.readers import split_valid
+from vicinal.sources.readers import parse_payloads, payload_texts, split_valid
 
 
 def score_payloads(payloads: DataFrame, refs: DataFrame, mode: str = "exact") -> DataFrame:
@@ -24,7 +23,7 @@ def stream_scores(spark: SparkSession, source: str, refs: DataFrame, sink: Calla
 
     Ranking isn't possible on a stream itself, so it is done in ``foreachBatch``. A batch is handed over at least once, with the same number.
     """
-    incoming = spark.readStream.schema(PAYLOAD).json(source)
+    incoming = parse_payloads(payload_texts(spark.readStream.text(source)))
 
     def handle(batch: DataFrame, k: int) -> None:
         sink(score_payloads(batch, refs, mode), k)
