@@ -5,8 +5,9 @@ the same places are one state, which has their number of places; its link is the
 The automaton is built from its tree of links, which is the trie of the pieces read backwards, level by level, with numpy. States enumerate their
 phrases with counts; counts of equal phrases are added up over all shards.
 
-A phrase is no more frequent than its parts. So words and pairs are counted first, and of longer phrases those are counted whose two longest parts
-may be frequent by a Bloom filter of fixed size over the frequent pairs; what it lets through wrongly is dropped by its count.
+A phrase is no more frequent than its parts, and few pairs are frequent. So pairs are counted first by 64-bit hashes, and a Bloom filter of fixed size
+holds the hashes that are frequent. Then words are counted, pairs that the filter lets through and longer phrases of such pairs, all spelled out: what the filter
+lets through wrongly is dropped by its count.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from vicinal.llm.common import parts, ship, spool, unspool
 #: Words of a shard: a task holds some 200 bytes for each.
 SHARD = 1_000_000
 #: Bits of the Bloom filter; it is broadcast, 16 MB.
-BITS = 1 << 27
+_LOG = 27
+BITS = 1 << _LOG
 _COUNT = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
 _COUNTS = "lang string, size int, phrase string, f long"
 BREAKS, SPACES = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
@@ -49,8 +51,10 @@ class Automaton:
         for k in range(depth):
             longer = place[ends] >= k
             ends, node = ends[longer], node[longer]
-            keys, first, node, count = np.unique(node * n_words + word[ends - k], return_index=True, return_inverse=True, return_counts=True)
-            levels.append((count, ends[first], of_end[ends[first]]))
+            node, keys = pd.factorize(node * n_words + word[ends - k])
+            some = np.zeros(len(keys), np.int64)
+            some[node] = ends
+            levels.append((np.bincount(node, minlength=len(keys)), some, of_end[some]))
             of_end[ends] = node + offset
             offset += len(keys)
         count, end, parent = (np.concatenate([level[i] for level in levels]) if levels else np.zeros(0, np.int64) for i in range(3))
@@ -101,6 +105,7 @@ def _cut(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Arra
         if n >= most:
             yield pa.concat_arrays(words), np.concatenate(groups), np.concatenate(places), pa.array(list(langs), pa.string())
             words, groups, places, langs, n = [], [], [], {}, 0
+            pa.default_memory_pool().release_unused()
     if n:
         yield pa.concat_arrays(words), np.concatenate(groups), np.concatenate(places), pa.array(list(langs), pa.string())
 
@@ -118,53 +123,54 @@ def _hashes(words: np.ndarray) -> np.ndarray:
     return pd.util.hash_array(words, categorize=False)
 
 
-def _bits(lang: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The filter's two bits of each pair, from hashes of its language and words."""
+def _pair_hashes(lang: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of pairs from those of their language and words."""
     with np.errstate(over="ignore"):
         h = (lang * np.uint64(0x9E3779B97F4A7C15) + left) * np.uint64(0xC2B2AE3D27D4EB4F) + right
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-    return np.stack([h % np.uint64(BITS), (h >> np.uint64(37)) % np.uint64(BITS)]).astype(np.int64)
+        return h ^ (h >> np.uint64(32))
 
 
-def short_counts(batches: Iterator[pa.RecordBatch], shard: int = SHARD) -> Iterator[pa.RecordBatch]:
-    """Counts of words and pairs by shard; a phrase of size 0 has all words of a language."""
+def _coded(words: pa.Array, langs: pa.Array, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words' numbers, their hashes and their languages'."""
+    coded = words.dictionary_encode()
+    number = coded.indices.to_numpy()
+    return number, _hashes(coded.dictionary.to_numpy(zero_copy_only=False))[number], _hashes(langs.to_numpy(zero_copy_only=False))[group]
+
+
+def pair_counts(batches: Iterator[pa.RecordBatch], shard: int = SHARD) -> Iterator[pa.RecordBatch]:
+    """(h, f): counts of pairs by shard, under their hashes."""
+    for words, group, place, langs in _cut(batches, shard):
+        number, own, lang = _coded(words, langs, group)
+        ends, count = Automaton(number, group, place, 2).phrases(2)
+        t = pa.Table.from_arrays([pa.array(_pair_hashes(lang[ends], own[ends - 1], own[ends]).view(np.int64)), pa.array(count)], names=["h", "f"])
+        yield from t.to_batches(max_chunksize=100_000)
+
+
+def phrase_counts(batches: Iterator[pa.RecordBatch], bloom: np.ndarray, shard: int = SHARD) -> Iterator[pa.RecordBatch]:
+    """Counts by shard of words, of pairs that may be frequent and of three words whose pairs may; a phrase of size 0 has all words of a language."""
     for words, group, place, langs in _cut(batches, shard):
-        a = Automaton(words.dictionary_encode().indices.to_numpy(), group, place, 2)
-        n = np.bincount(group, minlength=len(langs))
-        yield from _rows(langs, np.arange(len(langs)), 0, pa.array([""] * len(langs), pa.string()), n)
-        for size in (1, 2):
+        yield from _rows(langs, np.arange(len(langs)), 0, pa.array([""] * len(langs), pa.string()), np.bincount(group, minlength=len(langs)))
+        number, own, lang = _coded(words, langs, group)
+        a = Automaton(number, group, place, 3)
+        for size in (1, 2, 3):
             ends, count = a.phrases(size)
+            for k in range(size - 1):
+                h = _pair_hashes(lang[ends], own[ends - k - 1], own[ends - k])
+                may = np.ones(len(h), bool)
+                for bit in (h & np.uint64(BITS - 1), h >> np.uint64(64 - _LOG)):
+                    may &= (bloom[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                ends, count = ends[may], count[may]
             yield from _rows(langs, group[ends], size, _spelled(words, ends, size), count)
 
 
-def long_counts(batches: Iterator[pa.RecordBatch], size: int, bloom: np.ndarray, shard: int = SHARD) -> Iterator[pa.RecordBatch]:
-    """Counts by shard of phrases of ``size`` words, all of whose pairs may be frequent."""
-    for words, group, place, langs in _cut(batches, shard):
-        coded = words.dictionary_encode()
-        number = coded.indices.to_numpy()
-        ends, count = Automaton(number, group, place, size).phrases(size)
-        own, lang = _hashes(coded.dictionary.to_numpy(zero_copy_only=False))[number], _hashes(langs.to_numpy(zero_copy_only=False))[group]
-        for k in range(size - 1):
-            bits = _bits(lang[ends], own[ends - k - 1], own[ends - k])
-            may = (bloom[bits >> 3] >> (bits & 7) & 1).all(axis=0)
-            ends, count = ends[may], count[may]
-        yield from _rows(langs, group[ends], size, _spelled(words, ends, size), count)
-
-
-def _bit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        pair = pc.split_pattern(b.column(1), " ")
-        hashed = [_hashes(x.to_numpy(zero_copy_only=False).astype(object)) for x in (b.column(0), pc.list_element(pair, 0), pc.list_element(pair, 1))]
-        bits = _bits(*hashed).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(bits >> 6), pa.array(np.left_shift(np.int64(1), bits & 63))], names=["at", "bit"])
-
-
-def bloom_filter(pairs: DataFrame) -> np.ndarray:
-    """``BITS`` bits in bytes, those of (lang, phrase) pairs set. The words of 64 bits that are not zero, 2 million at most, come to the driver."""
-    bits = pairs.select("lang", "phrase").mapInArrow(_bit_rows, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+def bloom_filter(hashes: DataFrame) -> np.ndarray:
+    """``BITS`` bits in bytes, two of them set for each ``h``. The words of 64 bits that are not zero, 2 million at most, come to the driver."""
+    bit = F.explode(F.array(F.col("h").bitwiseAND(F.lit(BITS - 1)), F.shiftrightunsigned("h", 64 - _LOG)))
+    bits = hashes.select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("at"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("bits"))
+    found = bits.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(BITS >> 6, np.int64)
-    out[bits["at"].to_numpy()] = bits["bits"].to_numpy()
+    out[found["at"].to_numpy()] = found["bits"].to_numpy()
     return out.view(np.uint8)
 
 
@@ -183,13 +189,13 @@ def collocations(docs: DataFrame, least: int = 10, first: int = 2000, shard: int
     """
     spark = docs.sparkSession
     d = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text").filter("text is not null")
-    total = lambda c: c.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
-    # a shard's counts have no phrase twice; what is rare in all is of no use
-    short = spool(total(d.mapInArrow(lambda it: short_counts(it, shard), _COUNTS)).filter((F.col("f") >= least) | (F.col("size") == 0)), "short-phrases")
-    words, pairs = short.filter("size = 1"), short.filter("size = 2")
-    bloom = spark.sparkContext.broadcast(bloom_filter(pairs))
-    long = spool(total(d.mapInArrow(lambda it: long_counts(it, 3, bloom.value, shard), _COUNTS)).filter(F.col("f") >= least), "long-phrases")
+    frequent = spool(d.mapInArrow(lambda it: pair_counts(it, shard), "h long, f long").groupBy("h").agg(F.sum("f").alias("f")).filter(F.col("f") >= least).select("h"), "pair-hashes")
+    bloom = spark.sparkContext.broadcast(bloom_filter(frequent))
+    unspool(frequent)
+    counts = d.mapInArrow(lambda it: phrase_counts(it, bloom.value, shard), _COUNTS).groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
+    counts = spool(counts.filter((F.col("f") >= least) | (F.col("size") == 0)), "phrases")
     bloom.destroy()
+    words, pairs, long = (counts.filter(F.col("size") == k) for k in (1, 2, 3))
     # links: a phrase without its first word, and without its last
     some = lambda n: F.substring_index("phrase", " ", n)  # noqa: E731  so many words from the left, or from the right
     links = long.select("lang", "f", F.explode(F.array_distinct(F.array(some(2), some(-2)))).alias("phrase")).groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
@@ -202,7 +208,7 @@ def collocations(docs: DataFrame, least: int = 10, first: int = 2000, shard: int
     three = three.join(one("w1", "f1"), ["lang", "w1"]).join(one("w3", "f3"), ["lang", "w3"]).join(two("w12", "f12"), ["lang", "w12"]).join(two("w23", "f23"), ["lang", "w23"])
     cut = lambda k, left, right: F.struct(_score("a", left, right).alias("score"), F.lit(k).alias("k"), F.col(left).alias("l"), F.col(right).alias("r"))
     three = three.withColumn("_c", F.least(cut(1, "f1", "f23"), cut(2, "f12", "f3"))).select("lang", "phrase", "a", "_c.l", "_c.r", "_c.score")
-    n = short.filter("size = 0").select("lang", F.col("f").alias("n"))
+    n = counts.filter("size = 0").select("lang", F.col("f").alias("n"))
     w = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = split.unionByName(three).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= first)
     return ranked.join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
