@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from vicinal.llm.common import parts, ship, spool, unspool
 
 #: Words of a shard: a task holds some 200 bytes for each.
-SHARD = 1_000_000
+SHARD = 500_000
 #: Bits of the Bloom filter; it is broadcast, 16 MB.
 _LOG = 27
 BITS = 1 << _LOG
@@ -45,34 +45,34 @@ class Automaton:
     def __init__(self, word: np.ndarray, group: np.ndarray, place: np.ndarray, depth: int):
         n_words = int(word.max(initial=0)) + 1
         node = group.astype(np.int64)  # of each end, the node of the trie of backward readings
-        ends, offset = np.arange(len(word)), 0
-        of_end = np.full(len(word), -1)
+        ends, offset = np.arange(len(word), dtype=np.int32), 0
+        of_end = np.full(len(word), -1, np.int32)
         levels = []
         for k in range(depth):
             longer = place[ends] >= k
             ends, node = ends[longer], node[longer]
             node, keys = pd.factorize(node * n_words + word[ends - k])
-            some = np.zeros(len(keys), np.int64)
+            some = np.zeros(len(keys), np.int32)
             some[node] = ends
-            levels.append((np.bincount(node, minlength=len(keys)), some, of_end[some]))
+            levels.append((np.bincount(node, minlength=len(keys)).astype(np.int32), some, of_end[some]))
             of_end[ends] = node + offset
             offset += len(keys)
-        count, end, parent = (np.concatenate([level[i] for level in levels]) if levels else np.zeros(0, np.int64) for i in range(3))
-        length = np.repeat(np.arange(1, depth + 1), [len(level[0]) for level in levels])
+        count, end, parent = (np.concatenate([level[i] for level in levels]) if levels else np.zeros(0, np.int32) for i in range(3))
+        length = np.repeat(np.arange(1, depth + 1, dtype=np.int8), [len(level[0]) for level in levels])
         # a node with the count of its parent is of the parent's state, as the parent's phrase always has the same word before it
         joined = (parent >= 0) & (count == count[parent])
         has = np.zeros(len(count), bool)
         has[parent[joined]] = True
-        state_of = np.arange(len(count))
+        state_of = np.arange(len(count), dtype=np.int32)
         for k in range(depth - 1, 0, -1):  # a node's state is named by its longest phrase
             at = np.flatnonzero(joined & (length == k + 1))
             state_of[parent[at]] = state_of[at]
         names = np.flatnonzero(~has)
-        number = np.full(len(count), -1)
-        number[names] = np.arange(len(names))
+        number = np.full(len(count), -1, np.int32)
+        number[names] = np.arange(len(names), dtype=np.int32)
         tops = np.flatnonzero(~joined)  # a state's shortest phrase
         self.count, self.end, self.longest = count[names], end[names], length[names]
-        self.shortest, self.link = np.zeros(len(names), np.int64), np.full(len(names), -1)
+        self.shortest, self.link = np.zeros(len(names), np.int8), np.full(len(names), -1, np.int32)
         own = number[state_of[tops]]
         self.shortest[own] = length[tops]
         self.link[own] = np.where(parent[tops] >= 0, number[state_of[parent[tops]]], -1)
@@ -143,7 +143,7 @@ def pair_counts(batches: Iterator[pa.RecordBatch], shard: int = SHARD) -> Iterat
     for words, group, place, langs in _cut(batches, shard):
         number, own, lang = _coded(words, langs, group)
         ends, count = Automaton(number, group, place, 2).phrases(2)
-        t = pa.Table.from_arrays([pa.array(_pair_hashes(lang[ends], own[ends - 1], own[ends]).view(np.int64)), pa.array(count)], names=["h", "f"])
+        t = pa.Table.from_arrays([pa.array(_pair_hashes(lang[ends], own[ends - 1], own[ends]).view(np.int64)), pa.array(count.astype(np.int64))], names=["h", "f"])
         yield from t.to_batches(max_chunksize=100_000)
 
 
@@ -152,18 +152,26 @@ def phrase_counts(batches: Iterator[pa.RecordBatch], bloom: np.ndarray, shard: i
     for words, group, place, langs in _cut(batches, shard):
         yield from _rows(langs, np.arange(len(langs)), 0, pa.array([""] * len(langs), pa.string()), np.bincount(group, minlength=len(langs)))
         number, own, lang = _coded(words, langs, group)
-        a = Automaton(number, group, place, 3)
+        # pieces are cut between words that are no frequent pair: no frequent phrase spans that
+        at = np.arange(len(number))
+        joined = np.flatnonzero(place > 0)
+        joined = joined[_may(bloom, _pair_hashes(lang[joined], own[joined - 1], own[joined]))]
+        alone = np.ones(len(number), bool)
+        alone[joined] = False
+        del own, lang
+        a = Automaton(number, group, at - np.maximum.accumulate(np.where(alone, at, 0)), 3)
         for size in (1, 2, 3):
             ends, count = a.phrases(size)
-            for k in range(size - 1):
-                h = _pair_hashes(lang[ends], own[ends - k - 1], own[ends - k])
-                may = np.ones(len(h), bool)
-                for bit in (h & np.uint64(BITS - 1), h >> np.uint64(64 - _LOG)):
-                    may &= (bloom[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                ends, count = ends[may], count[may]
             yield from _rows(langs, group[ends], size, _spelled(words, ends, size), count)
 
 
+def _may(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
+    out = np.ones(len(h), bool)
+    for bit in (h & np.uint64(BITS - 1), h >> np.uint64(64 - _LOG)):
+        out &= (bloom[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return out
+
+
 def bloom_filter(hashes: DataFrame) -> np.ndarray:
     """``BITS`` bits in bytes, two of them set for each ``h``. The words of 64 bits that are not zero, 2 million at most, come to the driver."""
     bit = F.explode(F.array(F.col("h").bitwiseAND(F.lit(BITS - 1)), F.shiftrightunsigned("h", 64 - _LOG)))
