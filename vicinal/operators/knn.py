@@ -75,13 +75,13 @@ def _improve(best: list[np.ndarray], some: np.ndarray, d: np.ndarray, label: np.
         b[some] = np.take_along_axis(v, order, 1)
 
 
-def _leaves(x: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
-    """Rows of equal ``key`` in groups of ``LEAF`` at most, cut along their widest dimension again and again."""
+def _leaves(x: np.ndarray, key: np.ndarray, leaf: int = LEAF) -> list[np.ndarray]:
+    """Rows of equal ``key`` in groups of ``leaf`` at most, cut along their widest dimension again and again."""
     order = np.argsort(key, kind="stable")
     out, todo = [], np.split(order, np.flatnonzero(np.diff(key[order])) + 1)
     while todo:
         rows = todo.pop()
-        if len(rows) <= LEAF:
+        if len(rows) <= leaf:
             out.append(rows)
             continue
         part = x[rows]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vicinal.functions.distance import box_bound
 from vicinal.functions.features import MCC_RISK, OTHER_RISK, quantize, quantize_int8, quantized, round4
-from vicinal.operators import evaluate, ivf, knn
+from vicinal.operators import evaluate, ivf, knn, tree
 from vicinal.plans import transactions as tx
 from vicinal.schema import DIM
 from vicinal.sources.interim import folder, written
@@ -375,15 +375,23 @@ def quantization_fidelity(spark, sf_dir):
     return evaluate.order_agreement(knn.neighbours(d, q, dims=V, kind="double", digits=8), knn.neighbours(refs, tx.queries_of(refs)))
 
 
+@_query(_with(_NEAR + _NEIGHBOURS))
+def knn_tree(spark, sf_dir):
+    """The five nearest by rounds over the leaves of a tree."""
+    refs, queries = tx.search_sets(spark, sf_dir)
+    found = tree.search(written(tree.grow(refs), "leaves"), queries)
+    return found.select("query_id", "ref_id", "label", "d2", F.col("rank").cast("bigint").alias("rank"))
+
+
 @_query(_with(_NEAR + _VOTES))
 def index_round_trip(spark, sf_dir):
-    """The exact votes from an index that was written and read back."""
+    """The exact votes from a tree that was written and read back; its leaves say what is compared."""
     from vicinal.sources import store
 
     path = folder(spark, "index")
-    store.save_knn(tx.references(spark, sf_dir), path)
-    refs, _ = store.load_knn(spark, path)
-    return knn.classify(refs, tx.queries_of(refs))
+    refs, queries = tx.search_sets(spark, sf_dir)
+    store.save_tree(tree.grow(refs), path)
+    return tree.classify(store.load_tree(spark, path), queries)
 
 
 @_query(_IVF + " select query_id, id, label, rank from f")
