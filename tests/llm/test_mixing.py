@@ -1,8 +1,11 @@
 import re
 from collections import defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from tests.llm.data import SCHEMA, rows
-from vicinal.llm.mixing import mix, plan_mix, source_targets
+from vicinal.llm.mixing import mix, plan_mix, plan_sizes, source_targets
 
 
 def size(text):
@@ -70,3 +73,25 @@ def test_repeats_nulls_and_empty_tables(spark):
     assert sum(r["copies"] * r["size"] for r in out) == 8 and len(out) == 5
     assert plan_mix(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [r["target"] for r in plan_mix(spark.createDataFrame([(1, None, None, "a", 1)], SCHEMA)).collect()] == [0.0]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_every_source_comes_near_its_target(spark, sf):
+    """On the given tables, with one document of a third of a source's words, whatever the offset is."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text", "source")
+    for seed in range(6):
+        d = plan_sizes(docs, seed=seed).groupBy("source_size", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("taken")).collect()
+        off = max(abs(r["taken"] / r["target"] - 1) for r in d if r["target"])
+        print(sf, seed, len(d), off)
+        assert off < 0.03
+
+
+def test_large_documents_are_set_first(spark):
+    data = [(i, "w " * (5000 if i in (3, 8) else 700 if i < 10 else 11), "en", "ab"[i % 2], 1) for i in range(200)] + [(1000, "w " * 9999, "en", "c", 1)]
+    out = plan_mix(spark.createDataFrame(data, SCHEMA)).collect()
+    taken, want = defaultdict(int), {}
+    for r in out:
+        assert abs(r["copies"] - r["target"] / r["source_size"]) < 1
+        taken[r["source"]] += r["copies"] * r["size"]
+        want[r["source"]] = r["target"]
+    assert all(abs(taken[s] - want[s]) <= 350 for s in "ab") and taken["c"] in (0, 9999, 19998)

@@ -118,15 +118,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _OP1 = """
-with d as (select doc_id, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT as size, case when source is null then '' else '=' || source end as k, md5(coalesce(doc_id::VARCHAR, '')) as hk, length(bin(size)) * 100000 + rpad(substr(bin(size), 1, 5), 5, '0')::INT as up from documents),
+with recursive d as (select row_number() over () as rid, doc_id, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT as size, case when source is null then '' else '=' || source end as k, md5(coalesce(doc_id::VARCHAR, '')) as hk, length(bin(size)) * 100000 + rpad(substr(bin(size), 1, 5), 5, '0')::INT as up from documents),
 s as (select k, sum(size)::BIGINT as source_size from d group by k),
 w as (select *, [5.0, 2.0, 1.0][((row_number() over (order by k = '', k) - 1) % 3) + 1]::DOUBLE as w, source_size * 3.0::DOUBLE as cap, (sum(source_size) over ())::DOUBLE as total from s),
 r as (select *, total - coalesce(sum(cap) over (order by cap / w, k rows between unbounded preceding and 1 preceding), 0) as rest, sum(w) over (order by cap / w, k rows between current row and unbounded following) as open from w),
 f as (select *, rest * w > cap * open as is_full from r),
 t as (select k, source_size, case when is_full then cap else (total - coalesce(sum(case when is_full then cap end) over (), 0)) * w / sum(case when not is_full then w end) over () end as target from f),
-g as (select *, case when source_size > 0 then floor(target / source_size * 16777216)::BIGINT else 0 end as rate, ('0x' || substr(md5('0:' || k), 1, 6))::BIGINT as start from t),
-o as (select d.*, g.source_size, g.target, g.rate, g.start, row_number() over (partition by d.k order by case when substr(hk, 32, 1) < '8' then up else 10000000 - up end, hk, doc_id, size) as i from d join g on d.k = g.k)
-select doc_id, size, source_size, target::DOUBLE as target, (((rate * i + start) >> 24) - ((rate * (i - 1) + start) >> 24)) * size as taken from o
+large as (select rid, k, size, target, source_size, row_number() over big as i, (sum(size) over (big rows unbounded preceding))::BIGINT as s from d join t using (k) where size * 64 > source_size window big as (partition by k order by size desc, hk, doc_id)),
+f2 as (select k, i, rid, size, greatest(floor(target / source_size), least(ceil(target / source_size), floor((2 * floor(target / source_size * s)::BIGINT + size) / (2 * size))))::BIGINT as c, size * greatest(floor(target / source_size), least(ceil(target / source_size), floor((2 * floor(target / source_size * s)::BIGINT + size) / (2 * size))))::BIGINT as a from large where i = 1
+  union all select l.k, l.i, l.rid, l.size, greatest(floor(target / source_size), least(ceil(target / source_size), floor((2 * (floor(target / source_size * s)::BIGINT - a) + l.size) / (2 * l.size))))::BIGINT, a + l.size * greatest(floor(target / source_size), least(ceil(target / source_size), floor((2 * (floor(target / source_size * s)::BIGINT - a) + l.size) / (2 * l.size))))::BIGINT from f2 join large l on l.k = f2.k and l.i = f2.i + 1),
+fixed as (select k, max(a) as a, sum(size)::BIGINT as w from f2 group by k),
+g as (select t.k, source_size, target, case when source_size - coalesce(w, 0) > 0 then least(ceil(target / source_size)::BIGINT * 16777216, greatest(floor(target / source_size)::BIGINT * 16777216, floor((target - coalesce(a, 0)) / (source_size - coalesce(w, 0)) * 16777216)::BIGINT)) else 0 end as rate, ('0x' || substr(md5('0:' || t.k), 1, 6))::BIGINT as start from t left join fixed using (k)),
+o as (select d.*, g.source_size, g.target, g.rate, g.start, f2.c, row_number() over (partition by d.k, f2.c is null order by case when substr(hk, 32, 1) < '8' then up else 10000000 - up end, hk, doc_id, d.size) as i from d join g on d.k = g.k left join f2 on f2.rid = d.rid)
+select doc_id, size, source_size, target::DOUBLE as target, coalesce(c, ((rate * i + start) >> 24) - ((rate * (i - 1) + start) >> 24)) * size as taken from o
 """
 
 _OP5 = r"""
