@@ -1,5 +1,7 @@
 import hashlib
+import random
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -81,3 +83,64 @@ def test_documents(spark):
         by.setdefault(texts[r["doc_id"]], set()).add((r["media_sha256"], bytes(r["low_hash"])))
     assert all(len(v) == 1 for v in by.values())
     assert media_features(to_media(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def mutated(rng, data):
+    """The same chunks with some bytes changed, some cut, doubled or dropped, and right checksums."""
+    parts, at = [], 8
+    while at + 12 <= len(data):
+        n = int.from_bytes(data[at : at + 4], "big")
+        parts.append((data[at + 4 : at + 8], bytearray(data[at + 8 : at + 8 + n])))
+        at += 12 + n
+    for _ in range(rng.randint(1, 3)):
+        k = rng.randrange(len(parts))
+        kind, part = parts[k]
+        how = rng.randrange(5)
+        if how == 0 and part:
+            part[rng.randrange(len(part))] = rng.choice([0, 1, 2, 4, 16, 255, rng.randrange(256)])
+        elif how == 1:
+            del part[rng.randrange(len(part) + 1) :]
+        elif how == 2:
+            parts.insert(k, parts[rng.randrange(len(parts))])
+        elif how == 3 and len(parts) > 1:
+            parts.pop(k)
+        else:
+            part += bytes(rng.randrange(20))
+    return SIGNATURE + b"".join(chunk(k, bytes(p)) for k, p in parts)
+
+
+def test_malformed_streams_with_right_checksums():
+    rng = random.Random(9)
+    seeds = [encode(pad(b"some text " * 50)), plain(7, 3, 0, filtered([[1, 2, 3, 4, 5, 6, 7]] * 3, 1, [0, 3, 4])), plain(1, 1, 6, b"\x00abcd")]
+    sound = 0
+    for _ in range(3000):
+        try:
+            decode(mutated(rng, rng.choice(seeds)))
+            sound += 1
+        except MediaError:
+            pass
+    assert sound < 1500
+    for head in (b"a" * 12, struct.pack(">IIBBBBB", 64, 0, 8, 2, 0, 0, 0), struct.pack(">IIBBBBB", 0, 64, 8, 2, 0, 0, 0), struct.pack(">IIBBBBB", 1 << 31, 1 << 31, 8, 2, 0, 0, 0)):
+        with pytest.raises(MediaError):
+            decode(SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"")) + chunk(b"IEND", b""))
+
+
+def test_inflation_stops_at_the_header():
+    bomb = SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", 64, 900, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(bytes(1 << 26), 9)) + chunk(b"IEND", b"")
+    tracemalloc.start()
+    with pytest.raises(MediaError):
+        decode(bomb)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 21
+    tracemalloc.stop()
+
+
+def test_unsound_streams_have_an_error(spark):
+    grey = plain(7, 3, 0, filtered([[1, 2, 3, 4, 5, 6, 7]] * 3, 1, [0, 1, 2]))
+    zero = SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", 64, 0, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"")) + chunk(b"IEND", b"")
+    short = SIGNATURE + chunk(b"IHDR", b"a" * 12) + chunk(b"IEND", b"")
+    d = spark.createDataFrame([(1, 5, encode(pad(b"hello"))), (2, 21, grey), (3, 0, zero), (4, 0, short), (5, 0, None), (6, 0, b"")], "doc_id long, n_bytes long, media binary")
+    out = {r["doc_id"]: r for r in media_features(d).collect()}
+    assert [out[i]["error"] is None for i in range(1, 7)] == [True, True, False, False, False, False]
+    assert out[2]["payload_bytes"] == 21 and len(out[2]["low_hash"]) == 8
+    for i in (3, 4, 5, 6):
+        assert out[i]["payload_sha256"] is None and out[i]["low_hash"] is None and out[i]["media_sha256"] is not None

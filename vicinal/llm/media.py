@@ -91,31 +91,56 @@ def _unfilter(raw: np.ndarray, bpp: int) -> np.ndarray:
     return x
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The samples, height x (width * channels), of a PNG of 8-bit samples; MediaError if a checksum or length is wrong."""
+def _chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """(kind, contents) up to the end chunk, with checksums tested."""
     if data[:8] != SIGNATURE:
         raise MediaError("no PNG signature")
-    at, head, body, done = 8, None, [], False
-    while at + 12 <= len(data) and not done:
+    at = 8
+    while at + 12 <= len(data):
         n, kind = struct.unpack_from(">I4s", data, at)
         part, crc = data[at + 8 : at + 8 + n], data[at + 8 + n : at + 12 + n]
         if len(crc) < 4 or zlib.crc32(part, zlib.crc32(kind)) != int.from_bytes(crc, "big"):
             raise MediaError(f"bad checksum in {kind!r}")
+        yield kind, part
+        if kind == b"IEND":
+            return
+        at += 12 + n
+    raise MediaError("no end chunk")
+
+
+def decode_image(data: bytes) -> tuple[np.ndarray, int]:
+    """The samples, height x (width * channels), and the channels of a PNG of 8-bit samples; MediaError whatever else it is.
+
+    No more is inflated than the header says, and nothing where that is more than a stream of this length can hold.
+    """
+    head, body = None, []
+    for i, (kind, part) in enumerate(_chunks(data)):
+        if (kind == b"IHDR") != (i == 0):
+            raise MediaError("the header is not the first chunk, alone")
         if kind == b"IHDR":
+            if len(part) != 13:
+                raise MediaError("a header of another length")
             head = struct.unpack(">IIBBBBB", part)
         elif kind == b"IDAT":
             body.append(part)
-        done, at = kind == b"IEND", at + 12 + n
-    if head is None or not done or head[2] != 8 or head[3] not in CHANNELS or any(head[4:]):
+    if head is None or head[2] != 8 or head[3] not in CHANNELS or any(head[4:]) or not head[0] or not head[1]:
         raise MediaError("incomplete or unsupported")
+    width, height, bpp, packed = head[0], head[1], CHANNELS[head[3]], b"".join(body)
+    size = height * (width * bpp + 1)
+    if size > 1100 * len(packed):  # deflate makes less than that of a byte
+        raise MediaError("wrong length")
+    inflate = zlib.decompressobj()
     try:
-        raw = zlib.decompress(b"".join(body))
+        raw = inflate.decompress(packed, size + 1)
     except zlib.error as e:
         raise MediaError(str(e)) from e
-    width, height, bpp = head[0], head[1], CHANNELS[head[3]]
-    if len(raw) != height * (width * bpp + 1):
+    if len(raw) != size or not inflate.eof:
         raise MediaError("wrong length")
-    return _unfilter(np.frombuffer(raw, np.uint8).reshape(height, -1), bpp)
+    return _unfilter(np.frombuffer(raw, np.uint8).reshape(height, -1), bpp), bpp
+
+
+def decode(data: bytes) -> np.ndarray:
+    return decode_image(data)[0]
 
 
 def low_hash(samples: np.ndarray, channels: int = DEPTH) -> bytes:
@@ -153,12 +178,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for media in batch.column(2).to_pylist():
             try:
-                samples = decode(media or b"")
+                samples, channels = decode_image(media or b"")
             except MediaError as e:
                 rows.append((None, None, None, len(media or b""), hashlib.sha256(media or b"").hexdigest(), None, str(e)))
                 continue
             payload = samples.tobytes()
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), low_hash(samples), None))
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), low_hash(samples, channels), None))
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
         cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=[c.split()[0] for c in _OUT.split(", ")])

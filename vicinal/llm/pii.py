@@ -8,6 +8,9 @@ secrets, which are no numbers, become keyed digests. Everything else in the text
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +25,7 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![0-9./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?![0-9/-])",
     "ssn": r"(?<![0-9-])\d{3}-\d{2}-\d{4}(?![0-9-])",
-    "ip": r"(?<![0-9.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?[0-9])",
+    "ip": r"(?<![0-9.])(?<!(?i:version|release|firmware|build|ver\.?|v\.?)[ :=]{0,2})\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?[0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\.?[0-9])",
     "card": r"(?<![0-9A-Za-z])\d(?:[ -]?\d){12,18}(?![0-9])",
 }
@@ -34,18 +37,24 @@ IBAN_LENGTHS = (
     "KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
 )
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Calling codes of one and two digits; all others have three.
+CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
 #: Days from 1900-01-01 to 2099-12-31 are 17 x 4297; valid social security numbers are 898 areas times 99 x 9999.
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
 AREAS, SERIALS = 898, 99 * 9999
 
 
-def _prf(key: str, tweak: str, i: Column, x: Column) -> Column:
+def _column(key: Column | str) -> Column:
+    return F.lit(key) if isinstance(key, str) else key
+
+
+def _prf(key: Column | str, tweak: str, i: Column, x: Column) -> Column:
     """60 keyed pseudorandom bits."""
-    digest = F.sha2(F.concat(F.lit(f"{key}|{tweak}|"), i.cast("string"), F.lit("|"), x.cast("string")).cast("binary"), 256)
+    digest = F.sha2(F.concat(_column(key), F.lit(f"|{tweak}|"), i.cast("string"), F.lit("|"), x.cast("string")).cast("binary"), 256)
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def feistel(a: Column, b: Column, size_a: Column | int, size_b: Column | int, key: str, tweak: str) -> Column:
+def feistel(a: Column, b: Column, size_a: Column | int, size_b: Column | int, key: Column | str, tweak: str) -> Column:
     """A keyed permutation of the pairs (a, b) with 0 <= a < size_a, 0 <= b < size_b, as struct (a, b)."""
     sizes = [F.lit(s).cast("long") if isinstance(s, int) else s.cast("long") for s in (size_a, size_b)]
     start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
@@ -53,7 +62,7 @@ def feistel(a: Column, b: Column, size_a: Column | int, size_b: Column | int, ke
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
 
 
-def permute_digits(digits: Column, key: str, tweak: str) -> Column:
+def permute_digits(digits: Column, key: Column | str, tweak: str) -> Column:
     """A keyed permutation of the digit strings of one length, of 2 to 34 digits."""
 
     def of(d: Column) -> Column:
@@ -86,7 +95,7 @@ def _is_card(d: Column) -> Column:
     return F.length(d).between(13, 19) & d.rlike(ISSUER) & (_luhn(d) % 10 == 0)
 
 
-def _card(m: Column, key: str) -> Column:
+def _card(m: Column, key: Column) -> Column:
     """The issuer's digits stay, the account's are permuted, the check digit is set anew. Of digits with separators the longest start that is a number is taken."""
     sound = lambda e: ((e == F.length(m)) | m.substr(e + 1, F.lit(1)).isin(" ", "-")) & _is_card(_digits(m.substr(F.lit(1), e)))
 
@@ -107,7 +116,7 @@ def _mod97(x: Column) -> Column:
     return F.aggregate(F.split(x, ""), F.lit(0), lambda a, c: let(F.when(c.rlike("[0-9]"), c).otherwise((F.ascii(c) - 55).cast("string")), lambda s: F.pmod(a * F.when(F.length(s) == 2, 100).otherwise(10) + s.cast("int"), F.lit(97))))
 
 
-def _iban(m: Column, key: str) -> Column:
+def _iban(m: Column, key: Column) -> Column:
     """Digits of the account part are permuted, its letters stay, and the check digits are set anew."""
 
     def of(x: Column) -> Column:
@@ -121,7 +130,7 @@ def _iban(m: Column, key: str) -> Column:
     return let(F.replace(m, F.lit(" "), F.lit("")), of)
 
 
-def _date(m: Column, key: str) -> Column:
+def _date(m: Column, key: Column) -> Column:
     day = F.coalesce(*[F.when(m.rlike(p), F.try_to_date(m, f)) for p, f in (("^[0-9]{4}-", "yyyy-MM-dd"), ("/", "dd/MM/yyyy"), ("/", "MM/dd/yyyy"), (r"^..\.", "dd.MM.yyyy"))])
     form = F.when(m.rlike("^[0-9]{4}-"), F.lit("yyyy-MM-dd")).when(m.rlike(r"^..\."), F.lit("dd.MM.yyyy")).when(F.try_to_date(m, "dd/MM/yyyy").isNotNull(), F.lit("dd/MM/yyyy")).otherwise(F.lit("MM/dd/yyyy"))
 
@@ -136,7 +145,7 @@ def _date(m: Column, key: str) -> Column:
     return let(F.datediff(day, F.lit(FIRST_DAY).cast("date")), of)
 
 
-def _ssn(m: Column, key: str) -> Column:
+def _ssn(m: Column, key: Column) -> Column:
     part = F.transform(F.split(m, "-"), lambda x: x.cast("int"))
 
     def of(p: Column) -> Column:
@@ -148,7 +157,7 @@ def _ssn(m: Column, key: str) -> Column:
     return let(part, of)
 
 
-def _ip(m: Column, key: str) -> Column:
+def _ip(m: Column, key: Column) -> Column:
     def of(p: Column) -> Column:
         q = feistel(p[0] * 256 + p[1], p[2] * 256 + p[3], 1 << 16, 1 << 16, key, "ip")
         return F.when(F.array_max(p) < 256, let(q, lambda x: F.concat_ws(".", F.floor(x["a"] / 256), x["a"] % 256, F.floor(x["b"] / 256), x["b"] % 256)))
@@ -156,26 +165,38 @@ def _ip(m: Column, key: str) -> Column:
     return let(F.transform(F.split(m, r"\."), lambda x: x.cast("int")), of)
 
 
-def _phone(m: Column, key: str) -> Column:
-    """The country code stays, the national number is permuted."""
-    code = F.regexp_extract(m, r"^(\+\d{1,3}(?=[ .(-])|)", 1)
-    rest = m.substr(F.length(code) + 1, F.length(m))
-    return F.when(F.length(_digits(rest)).between(7, 14), F.concat(code, _refill(rest, permute_digits(_digits(rest), key, "phone"))))
+def _phone(m: Column, key: Column) -> Column:
+    """The country code stays, the national number is permuted, whatever separators stand in either: a number is linked however it is written.
+
+    Codes are known by their digits. A number without a plus sign is a national one of ten digits, and is taken for one of code 1, which writes them so.
+    """
+    short = "|".join(CODES.split(" "))
+    code = F.regexp_extract(_digits(m), f"^(?:{short}|[0-9]{{3}})", 0)
+    skip = F.when(m.startswith("+"), F.length(code)).otherwise(0)
+    # the text up to the code's last digit
+    head = F.when(skip == 0, F.lit("")).otherwise(F.regexp_extract(m, r"^\+(?:[ .()-]*[0-9]){1}", 0))
+    head = F.when(skip == 2, F.regexp_extract(m, r"^\+(?:[ .()-]*[0-9]){2}", 0)).when(skip == 3, F.regexp_extract(m, r"^\+(?:[ .()-]*[0-9]){3}", 0)).otherwise(head)
+
+    def of(h: Column) -> Column:
+        rest = m.substr(F.length(h) + 1, F.length(m))
+        return let(_digits(rest), lambda d: F.when(F.length(d).between(7, 14), F.concat(h, _refill(rest, permute_digits(d, key, "phone")))))
+
+    return let(head, of)
 
 
-def _email(m: Column, key: str) -> Column:
-    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat(F.lit(f"{key}|email|"), F.lower(m)).cast("binary"), 256), 1, 16), F.lit("@example.invalid"))
+def _email(m: Column, key: Column) -> Column:
+    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat(_column(key), F.lit("|email|"), F.lower(m)).cast("binary"), 256), 1, 16), F.lit("@example.invalid"))
 
 
-def _secret(m: Column, key: str) -> Column:
+def _secret(m: Column, key: Column) -> Column:
     """The name before the secret stays; the secret becomes as many hexadecimal digits of a keyed digest."""
     name = F.regexp_extract(m, r"^(?i:((?:token|secret|password|passwd|api[_-]?key)\s{0,3}[=:]\s{0,3}\"?)|)", 1)
     value = m.substr(F.length(name) + 1, F.length(m))
-    digest = F.sha2(F.concat(F.lit(f"{key}|secret|"), F.lower(value)).cast("binary"), 256)
+    digest = F.sha2(F.concat(_column(key), F.lit("|secret|"), F.lower(value)).cast("binary"), 256)
     return F.concat(name, F.substring(F.repeat(digest, F.lit(4)), F.lit(1), F.length(value)))
 
 
-def _replacement(m: Column, key: str) -> Column:
+def _replacement(m: Column, key: Column) -> Column:
     """(kind, text) for one match; null if it is nothing that is valid. Kinds are tried in the order of PATTERNS."""
     makers = {"email": _email, "secret": _secret, "key": _secret, "iban": _iban, "date": _date, "ssn": _ssn, "ip": _ip, "phone": _phone, "card": _card}
     options = []
@@ -192,15 +213,20 @@ def _tagged(text: Column, kind: str) -> Column:
 def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` (text, ...) with text replaced, and pii: array of (kind, text), the pseudonyms in the order of their places.
 
-    Null text stays null; a text without personal data stays as it is, and so does what looks like a number but is not valid.
-    A column of ``docs`` named pii is replaced.
+    Null text stays null; a text without personal data stays as it is, and so does what looks like a number but is not valid. A column of ``docs`` named pii is
+    replaced. Without a key there is an error: whoever knows it can undo the permutations. It goes to the tasks as a row, so that
+    it does not stand in plans.
     """
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
+    derived = hmac.new(key.encode(), b"vicinal pseudonyms", hashlib.sha256).hexdigest()
+    secret = docs.sparkSession.createDataFrame([(derived,)], "_key string").scalar()
     t = F.col("text")
     none = F.array().cast("array<struct<kind:string,text:string>>")
     found = F.when(t.rlike("[0-9@]") & t.rlike(ANY), F.regexp_extract_all(t, F.lit(f"({ANY})"), F.lit(0)))
-    d = docs.drop("pii").withColumn("_m", found)
-    d = d.withColumn("_r", F.transform("_m", lambda m: F.struct(m.alias("m"), _replacement(m, key).alias("new"))))
+    d = docs.drop("pii").withColumns({"_m": found, "_key": secret})
+    d = d.withColumn("_r", F.transform("_m", lambda m: F.struct(m.alias("m"), _replacement(m, F.col("_key")).alias("new"))))
     between = F.split(t, ANY, -1)
     text = F.when(F.size("_m") > 0, let(between, lambda b: F.concat(F.element_at(b, 1), F.array_join(F.transform("_r", lambda r, i: F.concat(F.coalesce(r["new"]["text"], r["m"]), F.get(b, i + 1))), "")))).otherwise(t)
     pii = F.when(F.size("_m") > 0, F.filter(F.transform("_r", lambda r: r["new"]), lambda x: x.isNotNull())).otherwise(none)
-    return d.select(*[text.alias("text") if c == "text" else F.col(c) for c in d.columns if c not in ("_m", "_r")], pii.alias("pii"))
+    return d.select(*[text.alias("text") if c == "text" else F.col(c) for c in d.columns if c not in ("_m", "_r", "_key")], pii.alias("pii"))

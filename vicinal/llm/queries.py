@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 from math import ceil
 
@@ -62,8 +63,9 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pseudonymize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a deployment sets its own key; this one is for tables without persons
-    d = pii.pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), key=spark.conf.get("spark.vicinal.pii.key", "documents-1"))
+    # a deployment sets its own key, and keeps it for later runs; else the pseudonyms are those of this run
+    key = spark.conf.get("spark.vicinal.pii.key", None) or secrets.token_hex(32)
+    d = pii.pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), key=key)
     return d.select("doc_id", F.size("pii").cast("long").alias("n_pii"), F.array_join(F.array_sort(F.array_distinct(F.transform("pii", lambda x: x["kind"]))), ",").alias("kinds"), "text")
 
 
