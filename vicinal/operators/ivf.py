@@ -1,14 +1,57 @@
 """The approximate variant: k-means cells, inverted lists, and a search of the cells nearest to the query.
 
-Vectors are arrays of any length, in ``vec``, and their rows have a unique ``id``; distances are doubles.
+Vectors are arrays of any length, in ``vec``, and their rows have a unique ``id``; distances are doubles. Rows meet centroids and queries in matrices,
+in Arrow batches; centroids go to all tasks, so their size is checked.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from vicinal.sources.interim import dropped, written
+
+#: Bytes of centroids up to which they are sent to the tasks.
+MOST_CENTROIDS = 256 << 20
+#: Rows and queries of a cell that meet at once; rows of a block of the sample's order; numbers in one intermediate matrix.
+REF_BLOCK, QUERY_BLOCK, SAMPLE_BLOCK, MATRIX = 50_000, 2_000, 65_536, 1 << 22
+_FOUND = "query_id long, id long, label int, d2 double"
+
+
+def _matrix(vec: pa.Array, kind=np.float64) -> np.ndarray:
+    """Arrays of one length as the rows of a matrix."""
+    flat = vec.flatten().to_numpy(zero_copy_only=False).astype(kind)
+    if not len(vec):
+        return np.zeros((0, 0), kind)
+    if len(flat) % len(vec) or len(pc.unique(pc.list_value_length(vec))) != 1:
+        raise ValueError("vectors must be of one length")
+    return flat.reshape(len(vec), -1)
 
-from vicinal.functions.distance import squared_arrays
+
+def _squared(x: np.ndarray, c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(start, squared distances of some rows of ``x`` from all rows of ``c``). Differences are squared, so equal rows have equal distances."""
+    step = max(1, MATRIX // max(1, c.size))
+    for start in range(0, len(x), step):
+        part = x[start : start + step]
+        yield start, np.stack([((part - y) ** 2).sum(axis=1) for y in c], axis=1) if len(c) < 64 else ((part[:, None] - c[None]) ** 2).sum(axis=2)
+
+
+def _shared(centroids: DataFrame):
+    """The centroids in order of cell, as a broadcast (cells, matrix)."""
+    t = centroids.select("cell", "centroid").orderBy("cell").toArrow()
+    if t.nbytes > MOST_CENTROIDS:
+        raise ValueError("centroids of more than 256 MB: take fewer cells")
+    whole = t["centroid"].combine_chunks()
+    kind = np.int64 if pa.types.is_integer(whole.type.value_type) else np.float64
+    return centroids.sparkSession.sparkContext.broadcast((t["cell"].to_numpy(), _matrix(whole, kind)))
 
 
 def first_centroids(points: DataFrame, cells: int) -> DataFrame:
@@ -18,47 +61,131 @@ def first_centroids(points: DataFrame, cells: int) -> DataFrame:
     return low.select((F.row_number().over(w) - 1).alias("cell"), F.col("vec").alias("centroid"))
 
 
-def sampled_centroids(points: DataFrame, cells: int, seed: int) -> DataFrame:
-    """(cell, centroid): points drawn with replacement, by a hash of id and seed.
+def _hex(text: Column, digits: int) -> Column:
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
+
 
-    Points are numbered in the order of their ids' hashes: 4096 blocks of it are counted and summed up, and numbers are given within a block.
+def draws(points: DataFrame, n: int, seed: int) -> DataFrame:
+    """(draw, id) for ``n`` draws with replacement from ``points``, by hashes: any engine and any partitioning gives the same.
+
+    Points are in the order of the md5 of their ids. It is cut into blocks by its first digits, about 65536 points each, whose counts come to the driver; draw i
+    takes the place that the md5 of seed and i says.
     """
-    p = points.select("id", "vec", F.xxhash64("id").alias("_h")).withColumn("_block", F.shiftright("_h", 52))
-    blocks = p.groupBy("_block").agg(F.count("*").alias("_n"))
-    blocks = blocks.withColumn("_to", F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    n = blocks.agg(F.max("_to").alias("_all"))
-    picks = points.sparkSession.range(cells).join(n, how="cross").select(F.col("id").cast("int").alias("cell"), F.pmod(F.xxhash64("id", F.lit(seed)), F.col("_all")).alias("_at"))
-    picks = picks.join(F.broadcast(blocks), (F.col("_at") < F.col("_to")) & (F.col("_at") >= F.col("_to") - F.col("_n")))
-    picks = picks.select("cell", "_block", (F.col("_at") - F.col("_to") + F.col("_n") + 1).alias("_rank"))
-    ranked = p.join(F.broadcast(picks.select("_block").distinct()), "_block").withColumn("_rank", F.row_number().over(Window.partitionBy("_block").orderBy("_h", "id")).cast("bigint"))
-    return picks.join(ranked, ["_block", "_rank"]).select("cell", F.col("vec").alias("centroid"))
+    total = points.count()
+    digits = 1
+    while 16**digits * SAMPLE_BLOCK < total and digits < 6:
+        digits += 1
+    digest = F.md5(F.col("id").cast("string"))
+    p = points.select("id", digest.alias("_h"), F.conv(F.substring(digest, 1, digits), 16, 10).cast("int").alias("_block"))
+    counts = p.groupBy("_block").agg(F.count("*").alias("n")).toArrow()  # 16 million rows at most, for 10**12 points
+    sizes = np.zeros(16**digits + 1, np.int64)
+    sizes[counts["_block"].to_numpy() + 1] = counts["n"].to_numpy()
+    starts = points.sparkSession.sparkContext.broadcast(np.cumsum(sizes))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(1).to_numpy()
+            block = np.searchsorted(starts.value, at, side="right") - 1
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(block, pa.int32()), pa.array(at - starts.value[block] + 1, pa.int32())], names=["draw", "_block", "_rank"])
+
+    ranked = p.withColumn("_rank", F.row_number().over(Window.partitionBy("_block").orderBy("_h", "id")))
+    picks = points.sparkSession.range(n if total else 0).select(F.col("id").alias("draw"), F.pmod(_hex(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 15), F.lit(max(1, total))).alias("_at"))
+    return picks.mapInArrow(place, "draw long, _block int, _rank int").join(ranked, ["_block", "_rank"]).select("draw", "id")
+
+
+def sample(points: DataFrame, n: int, seed: int) -> DataFrame:
+    """``points`` that are drawn, with ``times``: how often. The times are ``n`` in all."""
+    return points.join(draws(points, n, seed).groupBy("id").agg(F.count("*").alias("times")), "id")
+
+
+def sampled_centroids(points: DataFrame, cells: int, seed: int) -> DataFrame:
+    """(cell, centroid): points drawn with replacement."""
+    return draws(points, cells, seed).join(points.select("id", "vec"), "id").select(F.col("draw").cast("int").alias("cell"), F.col("vec").alias("centroid"))
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], shared, at: int) -> Iterator[pa.RecordBatch]:
+    cells, centres = shared.value
+    whole = centres.dtype == np.int64
+    for b in batches:
+        x = _matrix(b.column(at), centres.dtype)
+        place, d2 = np.zeros(len(x), np.int64), np.zeros(len(x), centres.dtype)
+        for start, d in _squared(x, centres):
+            best = d.argmin(axis=1)  # the lowest cell of equals
+            place[start : start + len(d)], d2[start : start + len(d)] = best, d[np.arange(len(d)), best]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells[place], pa.int32()), pa.array(d2, pa.int64() if whole else pa.float64())], names=[*b.schema.names, "cell", "d2"])
 
 
 def assign(points: DataFrame, centroids: DataFrame) -> DataFrame:
-    """``points`` with the cell of the nearest centroid, the lowest of equals. Centroids are a parameter's number of rows."""
-    c = centroids.groupBy().agg(F.array_sort(F.collect_list(F.struct("cell", "centroid"))).alias("_cs"))
-    nearest = F.array_min(F.transform("_cs", lambda x: F.struct(squared_arrays(F.col("vec"), x["centroid"]).alias("d2"), x["cell"].alias("cell"))))
-    return points.join(F.broadcast(c), how="cross").withColumn("_n", nearest).select(*points.columns, F.col("_n.cell").alias("cell"), F.col("_n.d2").alias("d2"))
+    """``points`` with the cell of the nearest centroid, the lowest of equals, and d2. Centroids of integers give exact integer distances."""
+    shared = _shared(centroids)
+    whole = shared.value[1].dtype == np.int64
+    points = points.drop("cell", "d2")
+    schema = T.StructType([*points.schema, T.StructField("cell", T.IntegerType()), T.StructField("d2", T.LongType() if whole else T.DoubleType())])
+    if not len(shared.value[0]):
+        raise ValueError("no centroids")
+    at = points.columns.index("vec")
+    return points.mapInArrow(lambda it: _nearest(it, shared, at), schema)
+
+
+def _sums(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """Sums and counts of a task's rows by cell; rows have (cell, vec, times)."""
+    sums, counts = {}, {}
+    for b in batches:
+        cell, times = b.column(0).to_numpy(), b.column(2).to_numpy()
+        x = _matrix(b.column(1), np.int64 if whole else np.float64)
+        order = np.argsort(cell, kind="stable")
+        borders = np.flatnonzero(np.diff(cell[order], prepend=cell[order][:1] - 1)) if len(cell) else []
+        if len(cell):
+            weighted = (x * times[:, None])[order]
+            for c, v, n in zip(cell[order][borders], np.add.reduceat(weighted, borders, axis=0), np.add.reduceat(times[order], borders), strict=True):
+                sums[int(c)], counts[int(c)] = sums.get(int(c), 0) + v, counts.get(int(c), 0) + int(n)
+    kind = pa.int64() if whole else pa.float64()
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(counts.values()), pa.int64()), pa.array([v.tolist() for v in sums.values()], pa.list_(kind))], names=["cell", "n", "sums"])
 
 
 def update(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
-    """(cell, centroid): the mean of each cell; an empty cell keeps its centroid."""
-    parts = assigned.select("cell", F.posexplode("vec").alias("i", "x")).groupBy("cell", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    means = parts.groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("mean"))
-    old = F.transform("centroid", lambda x: x.cast("double"))
+    """(cell, centroid): the mean of each cell, of rows with ``times`` so often; an empty cell keeps its centroid.
+
+    Means of integer vectors are rounded to integers, halves up; their sums are exact. A task gives a row for each of its cells.
+    """
+    element = assigned.schema["vec"].dataType.elementType
+    whole = isinstance(element, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    rows = assigned.select(F.col("cell").cast("int").alias("cell"), "vec", (F.col("times").cast("long") if "times" in assigned.columns else F.lit(1).cast("long")).alias("times"))
+    kind = "long" if whole else "double"
+    parts = rows.mapInArrow(lambda it: _sums(it, whole), f"cell int, n long, sums array<{kind}>")
+    each = parts.select("cell", "n", F.posexplode("sums").alias("i", "s")).groupBy("cell", "i").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    mean = F.expr("cast((2 * s + n - pmod(2 * s + n, 2 * n)) div (2 * n) as long)") if whole else F.col("s") / F.col("n")
+    means = each.select("cell", "i", mean.alias("m")).groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("mean"))
+    old = F.transform("centroid", lambda x: x.cast(kind))
     return centroids.join(means, "cell", "left").select("cell", F.coalesce("mean", old).alias("centroid"))
 
 
-def train(points: DataFrame, cells: int, iterations: int, seed: int | None = None, sample: float | None = None) -> DataFrame:
-    """Centroids after so many rounds of Lloyd's method; the few rows of each round are brought to the driver, which cuts the lineage."""
-    data = points if sample is None else points.sample(withReplacement=True, fraction=sample, seed=seed)
-    c = first_centroids(points, cells) if seed is None else sampled_centroids(points, cells, seed)
+def train(points: DataFrame, cells: int, iterations: int, seed: int | None = None, sampled: int | None = None) -> DataFrame:
+    """Centroids after so many rounds of Lloyd's method, on all points or on ``sampled`` draws with replacement; each round's few rows are a table."""
+    data = points if sampled is None else written(sample(points, sampled, seed or 0), "sample")
+    c = written(first_centroids(points, cells) if seed is None else sampled_centroids(points, cells, seed), "centroids")
     for _ in range(iterations):
-        c = update(assign(data, c), c)
-        c = points.sparkSession.createDataFrame(c.collect(), c.schema)
+        last, c = c, written(update(assign(data, c), c), "centroids")
+        dropped(last)
+    if sampled is not None:
+        dropped(data)
     return c
 
 
+def cell_positions(assigned: DataFrame) -> DataFrame:
+    """``assigned`` with ``position``, from 0 on in the order of cell and id, without a gap.
+
+    Rows are dealt by ranges of (cell, id), so a cell may hold any share of them; a row's position is its place within its range after all ranges before.
+    """
+    names = [c for c in assigned.columns if c != "position"]
+    placed = written(assigned.select(*names).repartitionByRange("cell", "id").sortWithinPartitions("cell", "id").withColumn("_at", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").select(*names, (F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("position"))
+
+
 def cell_offsets(assigned: DataFrame, cells: int) -> DataFrame:
     """(cell, start) for cells 0..cells: where each cell's rows begin in cell order, empty cells too, and the end."""
     n = assigned.groupBy("cell").agg(F.count("*").alias("n"))
@@ -72,12 +199,57 @@ def inverted_lists(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("cell").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
+def _probes(batches: Iterator[pa.RecordBatch], shared, probes: int) -> Iterator[pa.RecordBatch]:
+    """Each query once for each of its nearest cells."""
+    cells, centres = shared.value
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x = _matrix(b.column(1), centres.dtype)
+        n = min(probes, len(cells))
+        near = np.concatenate([np.argsort(d, axis=1, kind="stable")[:, :n] for _, d in _squared(x, centres)])
+        again = pa.array(np.repeat(np.arange(len(x)), n))
+        yield pa.RecordBatch.from_arrays([b.column(0).take(again), b.column(1).take(again), pa.array(cells[near].ravel(), pa.int32())], names=["query_id", "qvec", "cell"])
+
+
+def _meet(k: int):
+    """The k best of a block of a cell for each query of a block."""
+
+    def best(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        out = [[], [], [], []]
+        if rows.num_rows and queries.num_rows:
+            ids, label, asked = rows["id"].to_numpy(), rows["label"].to_numpy(), queries["query_id"].to_numpy()
+            x, q = _matrix(rows["vec"].combine_chunks()), _matrix(queries["qvec"].combine_chunks())
+            order = np.lexsort((ids, label))
+            ids, label, x = ids[order], label[order], x[order]
+            for i, y in enumerate(q):
+                d = ((x - y) ** 2).sum(axis=1)
+                some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+                top = some[np.argsort(d[some], kind="stable")[:k]]
+                for o, v in zip(out, (np.full(len(top), asked[i]), ids[top], label[top], d[top]), strict=True):
+                    o.append(v)
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64()]
+        return pa.Table.from_arrays([pa.array(np.concatenate(o) if o else [], t) for o, t in zip(out, kinds, strict=True)], names=["query_id", "id", "label", "d2"])
+
+    return best
+
+
 def search(assigned: DataFrame, centroids: DataFrame, queries: DataFrame, k: int = 5, probes: int = 8) -> DataFrame:
-    """(query_id, id, label, d2, rank) among the ``probes`` nearest cells of each query (query_id, qvec). Few cells may give fewer than k."""
-    by_cell = Window.partitionBy("query_id").orderBy("_dc", "cell")
-    q = queries.select("query_id", "qvec").join(F.broadcast(centroids), how="cross").withColumn("_dc", squared_arrays(F.col("qvec"), F.col("centroid")))
-    q = q.withColumn("_p", F.row_number().over(by_cell)).filter(F.col("_p") <= probes).select("query_id", "qvec", "cell")
-    found = assigned.select("id", "label", "vec", "cell").join(q, "cell").select("query_id", "id", "label", squared_arrays(F.col("vec"), F.col("qvec")).alias("d2"))
+    """(query_id, id, label, d2, rank) among the ``probes`` nearest cells of each query (query_id, qvec). Few cells may give fewer than k.
+
+    Rows and queries of a cell meet in blocks of a bounded size, so a cell may hold any share of either; k rows of a query leave a block.
+    """
+    shared = _shared(centroids)
+    spark = assigned.sparkSession
+    q = written(queries.select(F.col("query_id").cast("long").alias("query_id"), "qvec").mapInArrow(lambda it: _probes(it, shared, probes), T.StructType([T.StructField("query_id", T.LongType()), T.StructField("qvec", queries.schema["qvec"].dataType), T.StructField("cell", T.IntegerType())])), "probes")
+    blocks = lambda d, size, name: d.groupBy("cell").agg((F.floor(F.count("*") / size) + 1).cast("int").alias(name))
+    n = written(blocks(assigned, REF_BLOCK, "_ni").join(blocks(q, QUERY_BLOCK, "_nj"), "cell"), "blocks")  # a row for each cell
+    deal = lambda c, of: F.pmod(F.xxhash64(c), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    rows = assigned.select("cell", F.col("id").cast("long").alias("id"), F.col("label").cast("int").alias("label"), "vec").join(F.broadcast(n), "cell").withColumn("_i", deal("id", "_ni")).withColumn("_j", every("_nj"))
+    asked = q.join(F.broadcast(n), "cell").withColumn("_j", deal("query_id", "_nj")).withColumn("_i", every("_ni"))
+    at, tasks = ["cell", "_i", "_j"], max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    found = rows.drop("_ni", "_nj").repartition(tasks, *at).groupBy(*at).cogroup(asked.drop("_ni", "_nj").repartition(tasks, *at).groupBy(*at)).applyInArrow(_meet(k), _FOUND)
     w = Window.partitionBy("query_id").orderBy("d2", "label", "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -86,3 +258,6 @@ def recall(truth: DataFrame, found: DataFrame) -> DataFrame:
     """(hits, total, recall): the share of the true (query_id, id) that were found."""
     hits = truth.join(found.select("query_id", "id"), ["query_id", "id"], "left_semi").agg(F.count("*").alias("hits"))
     return hits.join(truth.agg(F.count("*").alias("total")), how="cross").select("hits", "total", (F.col("hits") / F.col("total")).alias("recall"))
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

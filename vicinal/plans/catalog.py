@@ -232,6 +232,43 @@ def inverted_lists(spark, sf_dir):
     return lists.select("cell", F.concat(F.lit("["), F.array_join("ids", ", "), F.lit("]")).alias("ids"))
 
 
+@_query(_CELLS + " select id, cell::INT as cell, row_number() over (order by cell, id) - 1 as position from a")
+def cell_positions(spark, sf_dir):
+    """Each vector's place in the order of cells."""
+    p = _points(spark, sf_dir)
+    return ivf.cell_positions(ivf.assign(p, ivf.first_centroids(p, CELLS)).select("id", "cell"))
+
+
+SEED = 1234
+#: Draws with replacement, and the sample of which the integer centroids are means.
+_DRAWS = f"""o as (select vec_id as id, row_number() over (order by md5(vec_id::VARCHAR), vec_id) - 1 as place from embeddings),
+dr as (select i as draw, id from (select i, ('0x' || substr(md5('{SEED}:' || i), 1, 15))::BIGINT % (select count(*) from embeddings) as place from (select unnest(range((select count(*) // 2 from embeddings))) as i)) join o using (place)),
+sa as (select id, count(*) as times from dr group by 1)"""
+
+
+@_query(f"with {_DRAWS} select id, times from sa")
+def sample_with_replacement(spark, sf_dir):
+    """Half as many draws as there are vectors."""
+    p = _points(spark, sf_dir)
+    return ivf.sample(p, p.count() // 2, SEED).select("id", "times")
+
+
+_WHOLE = "case when x <= -1 then -10000 when x >= 1 then 10000 else round(x * 10000) end::BIGINT"
+_ROUND = """, a{n} as (select id, times, v, cell from (select p.*, c.cell, row_number() over (partition by p.id order by list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c.cell) as r from pt p, c{n} c) where r = 1),
+x{n} as (select cell, i, sum(times * v[i + 1]) as s, sum(times) as n from a{n}, (select unnest(range(64)) as i) group by 1, 2),
+c{m} as (select c.cell, coalesce(u.m, c.m) as m from c{n} c left join (select cell, list(floor((2 * s + n) / (2 * n)::DOUBLE)::BIGINT order by i) as m from x{n} group by 1) u using (cell))"""
+_INTEGERS = f"with {_DRAWS}, e as (select vec_id as id, list_transform(embedding, lambda y: list_transform([y::DOUBLE], lambda x: {_WHOLE})[1]) as v from embeddings), pt as (select e.id, times, v from e join sa using (id)), c0 as (select draw as cell, v as m from (select i as draw, id from (select i, ('0x' || substr(md5('{SEED}:' || i), 1, 15))::BIGINT % (select count(*) from embeddings) as place from (select unnest(range({CELLS})) as i)) join o using (place)) join e using (id))" + _ROUND.format(n=0, m=1) + _ROUND.format(n=1, m=2)
+
+
+@_query(_INTEGERS + " select cell::INT as cell, i, m[i + 1] as m from c2, (select unnest(range(64)) as i)")
+def kmeans_integers(spark, sf_dir):
+    """Two rounds of training on a sample drawn with replacement, from drawn centroids, in integers, so that any engine gets the same means."""
+    p = _points(spark, sf_dir)
+    p = p.withColumn("vec", F.transform("vec", lambda x: quantize(x.cast("double")).cast("int")))
+    c = ivf.train(p, CELLS, 2, SEED, p.count() // 2)
+    return c.select("cell", F.posexplode("centroid").alias("i", "m")).select("cell", F.col("i").cast("bigint").alias("i"), "m")
+
+
 _IVF = _CELLS + f""", s as (select id as query_id, vec as qvec from a where id % 20 = 0),
 pr as (select * from (select s.*, cell, row_number() over (partition by query_id order by {_D.format(a="qvec", b="centroid")}, cell) as r from s, c) where r <= {PROBES}),
 f as (select * from (select query_id, id, label, row_number() over (partition by query_id order by {_D.format(a="vec", b="qvec")}, label, id) as rank from pr join a using (cell)) where rank <= 5),
