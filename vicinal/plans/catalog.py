@@ -544,3 +544,22 @@ def streaming_score(spark, sf_dir):
     query.awaitTermination()
     out = spark.read.parquet(f"{base}/out")
     return out.select(F.col("query_id").cast("bigint").alias("query_id"), "frauds", "approved", "fraud_score")
+
+
+@_query(_with(_NEAR + _VOTES))
+def streaming_replay(spark, sf_dir):
+    """As streaming_score, but every batch is handed over twice, to a sink that keeps it once."""
+    from vicinal.streaming.scoring import stream_scores
+    from vicinal.streaming.sink import BatchSink
+
+    base = folder(spark, "stream", make=True)
+    tx.payloads(spark, sf_dir).filter("query_id % 20 = 0").drop("query_id", "label").repartition(3).write.json(f"{base}/in")
+    refs = written(tx.references(spark, sf_dir), "references")
+    sink = BatchSink(spark, f"{base}/out")
+
+    def twice(votes, k):
+        for _ in range(2):
+            sink(votes, k)
+
+    stream_scores(spark, f"{base}/in", refs, twice, f"{base}/log", once=True).awaitTermination()
+    return sink.read().select(F.col("query_id").cast("bigint").alias("query_id"), "frauds", "approved", "fraud_score")

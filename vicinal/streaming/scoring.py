@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from vicinal.functions.features import quantized, vectorize
+from vicinal.functions.features import payload_error, quantized, vectorize
 from vicinal.operators import knn
 from vicinal.sources.readers import parse_payloads, payload_texts, split_valid
+from vicinal.streaming.sink import observed
 
 
 def score_payloads(payloads: DataFrame, refs: DataFrame, mode: str = "exact") -> DataFrame:
@@ -21,14 +22,19 @@ def score_payloads(payloads: DataFrame, refs: DataFrame, mode: str = "exact") ->
 def stream_scores(spark: SparkSession, source: str, refs: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "declarative", once: bool = False, rejected: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Score JSON lines that arrive in the folder ``source``; ``sink`` gets each batch's votes, ``rejected`` its unusable payloads with their error.
 
-    Ranking isn't possible on a stream itself, so it is done in ``foreachBatch``. A batch is handed over at least once, with the same number.
+    Ranking isn't possible on a stream itself, so it is done in ``foreachBatch``. A batch is handed over at least once, with the same number; ``sink.BatchSink``
+    keeps it once. ``sink.Counts`` hears how many payloads went by.
     """
-    incoming = parse_payloads(payload_texts(spark.readStream.text(source)))
+    incoming = observed(parse_payloads(payload_texts(spark.readStream.text(source))), payload_error())
 
     def handle(batch: DataFrame, k: int) -> None:
-        sink(score_payloads(batch, refs, mode), k)
-        if rejected is not None:
-            rejected(split_valid(batch)[1], k)
+        batch.persist()  # read more than once, and what is observed is observed each time
+        try:
+            sink(score_payloads(batch, refs, mode), k)
+            if rejected is not None:
+                rejected(split_valid(batch)[1], k)
+        finally:
+            batch.unpersist()
 
     writer = incoming.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
