@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.data import SCHEMA, prose, rows, sentence
 from vicinal.llm.linededup import chunks, dedup_lines, lines
+from vicinal.llm.queries import QUERIES
 
 
 def cleaned(spark, data):
@@ -138,6 +139,47 @@ def test_without_bounds_every_repeated_chunk_goes(spark):
             assert got[i]["text"] == text
 
 
+def runs(gone, ls, least_words):
+    """What is removed of ``gone``: runs of lines with so many words, by the spaces in them."""
+    out = set()
+    for k in sorted(gone):
+        if k - 1 not in gone:
+            end = k
+            while end + 1 in gone:
+                end += 1
+            if " ".join(x.rstrip(" ") for x in ls[k : end + 1]).count(" ") >= least_words - 1:
+                out.update(range(k, end + 1))
+    return out
+
+
+def test_the_registered_form_against_the_plain_version(spark, tmp_path):
+    """op10 as it is registered, with its bounds of 24 bytes and 30 words: what it removes, and the texts."""
+    data = [(r[0], r[1]) for r in rows(seed=8, n=40) if len(r[1] or "") < 20000] + [(r[0], r[1]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).selectExpr("doc_id + 1000", "text").collect()]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    docs = {r["doc_id"]: (r["l"], r["c"]) for r in d.select("doc_id", lines(F.col("text")).alias("l"), chunks(F.col("text")).alias("c")).collect()}
+    want = {k: runs(gone, docs[k][0], 30) for k, gone in plain(data, docs).items()}
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op10_dedup_lines"](spark, str(tmp_path)).collect()}
+    assert sum(map(bool, want.values())) >= 5
+    for i, text in data:
+        ls = docs[i][0]
+        assert got[i]["removed_lines"] == len(want[i]), i
+        kept = "".join(x for k, x in enumerate(ls) if k not in want[i])
+        assert (got[i]["text"] or "").rstrip(" ") == (kept if want[i] else text or "").rstrip(" "), i
+
+
+def test_edges_of_any_length(spark):
+    rng = random.Random(17)
+    edge = " ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(120))  # lines too short to begin a chunk
+    passage = " ".join(sentence(rng, 8) for _ in range(4)) + " " + edge
+    texts = [prose(rng) + " " + passage + " " + prose(rng) for _ in range(3)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = lambda **how: {r["doc_id"]: r["text"] for r in dedup_lines(d, **how).collect()}
+    assert edge[150:] in left()[1]
+    out = left(beside_lines=0)
+    assert out[0] == texts[0] and all(edge[6:60] not in out[i] and edge[150:] not in out[i] for i in (1, 2))
+
+
 def test_passages_without_spaces_go(spark):
     rng = random.Random(31)
     clause = lambda: "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(rng.randint(5, 12)))

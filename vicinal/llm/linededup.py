@@ -29,7 +29,7 @@ LEAST_BYTES = 24
 #: What is removed in one place has so many words at least, by the spaces between them (twice as many characters in texts of wide ones): a repeated title or notice is no passage. With 0 every repeated chunk goes.
 LEAST_WORDS = 30
 #: At most so many lines on either side of a chunk are compared with those beside the first occurrence, and none beyond the next repeated chunk.
-#: Chunks begin at every fourth line in the mean, so a passage's edge has fewer.
+#: Chunks begin at every fourth line in the mean, so a passage's edge has fewer. With 0 all lines up to the next repeated chunk are compared.
 BESIDE = 24
 _SPANS = "array<struct<first:int,last:int>>"
 
@@ -80,12 +80,13 @@ def _run(x: Column, y: Column) -> Column:
     return F.coalesce(F.array_position(differ, F.lit(True)).cast("int"), F.lit(0)) - 1 + F.when(F.array_contains(differ, True), 0).otherwise(F.size(differ) + 1)
 
 
-def dedup_lines(docs: DataFrame, least_bytes: int = LEAST_BYTES, least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_bytes: int = LEAST_BYTES, least_words: int = LEAST_WORDS, beside_lines: int = BESIDE) -> DataFrame:
     """``docs`` (doc_id, text, ...) with text cleaned, and removed_lines (long), removed (array of (first, last)).
 
     Null text stays null, and a text of which nothing repeats stays as it is. Rows that repeat a doc_id and its text
     are one document and are changed alike; rows of one doc_id with different texts keep what only they share. A row without doc_id goes by
-    its text's hash. Columns of ``docs`` with the added names are replaced. With ``least_bytes`` and ``least_words`` 0 every repeated chunk goes.
+    its text's hash. Columns of ``docs`` with the added names are replaced. With ``least_bytes`` and ``least_words`` 0 every repeated chunk goes, and
+    with ``beside_lines`` 0 the lines beside it however many they are.
     """
     docs = docs.drop("removed_lines", "removed")
     keyed = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), "_t": F.xxhash64("text")})
@@ -106,7 +107,8 @@ def dedup_lines(docs: DataFrame, least_bytes: int = LEAST_BYTES, least_words: in
         def beside(j: Column) -> Column:
             other = F.get("marks", j)
             gap = F.greatest(F.abs(other["first"] - first) - LINES, F.lit(0)) + F.when(m["is_one"] | other["is_one"], LINES).otherwise(0)
-            return F.when(other.isNull(), BESIDE).otherwise(F.least(F.lit(BESIDE), gap))
+            most = F.lit(beside_lines) if beside_lines else F.size(ls)
+            return F.when(other.isNull(), most).otherwise(F.least(most, gap))
 
         before = lambda n: F.reverse(F.slice(ls, first - n + 1, n))
         return F.struct(first.alias("first"), (after - 1).alias("last"), m["hash"].alias("hash"), m["is_one"].alias("is_one"), F.array_join(F.slice(ls, first + 1, F.lit(LINES)), " ").alias("body"), let(F.least(first, beside(i - 1)), before).alias("before"), F.slice(ls, after + 1, beside(i + 1)).alias("after"))
