@@ -87,3 +87,15 @@ def test_no_labels_and_empty_table(spark):
     assert fit(d) is None and [tuple(r) for r in identify(d, None).collect()] == [(1, "und", 0.0)]
     e = spark.createDataFrame([], SCHEMA)
     assert fit(e) is None and identify(e, None).count() == 0
+
+
+def test_the_sample_of_many_labels_is_bounded(spark, monkeypatch):
+    from vicinal.llm import langid
+
+    monkeypatch.setattr(langid, "MOST_ROWS", 50)
+    monkeypatch.setattr(langid, "MOST_SHARES", 3)
+    d = spark.range(3000).selectExpr("id as doc_id", "concat('text of number ', id) as text", "concat('l', if(id < 1000, 0, id % 40)) as lang")
+    got = langid.sample(d, rows=20, excerpts=1)
+    labels = [x for x, _ in got]
+    assert len(got) == 50 and len(set(labels)) == 40  # each label's first row before the second ones
+    assert got == langid.sample(d.repartition(7), rows=20, excerpts=1)

@@ -125,3 +125,11 @@ def test_repeats_and_empty_table(spark):
     out = pack(d, PATH).collect()
     assert len(out) == 4 and len({(r["sequence_id"], r["offset"]) for r in out}) == 4
     assert pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_pricing_that_is_cut_short_says_so():
+    demand = {c: 7 + c % 5 for c in range(100, 1500, 13)}
+    with pytest.warns(UserWarning, match="pricing ended after 2 columns"):
+        cut = solve(demand, 4096, most=2)
+    for c, n in demand.items():
+        assert sum(p.get(c, 0) * k for p, k in cut) == n

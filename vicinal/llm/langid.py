@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from vicinal.llm.common import parts, ship
 
 SPAN, HIDDEN = 64, 8
-#: The bounds of the training sample: rows for each language and excerpts of each row. Every label that occurs is learned.
+#: The bounds of the training sample: rows for each language and excerpts of each row. Every label of the sample is learned.
 SAMPLE, EXCERPTS = 500, 3
+#: Rows of the sample in all, and the most frequent labels whose rows are thinned out before they are ranked.
+MOST_ROWS, MOST_SHARES = 100_000, 1024
 EPOCHS, BATCH, RATE, SEED = 8, 128, 0.02, 7
 UNKNOWN = "und"
 _BLOCK = 1024
@@ -192,18 +194,20 @@ def held_out(doc_id: Column) -> Column:
 def sample(docs: DataFrame, rows: int = SAMPLE, excerpts: int = EXCERPTS) -> list[tuple[str, str]]:
     """(language, excerpt) of at most so many rows for each language, drawn by a hash of doc_id from all labelled rows that aren't held out.
 
-    The hash is cut at a share of each language's rows first, so few rows are ranked; excerpts have at most 64 characters.
+    The hash is cut at a share of each frequent language's rows first, so few rows are ranked; excerpts have at most 64 characters. Of a label column with very
+    many values ``MOST_ROWS`` rows are taken in all, the first of each label before the second ones.
     """
     mark = F.xxhash64(F.col("doc_id"), F.lit("language"))
     d = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = d.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each label: as few as the model's outputs
+    counts = d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_SHARES).collect()  # rarer labels need no share
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for r in sorted(counts) for x in (r["lang"], min(1.0, 3.0 * rows / r["n"]))])
-    d = d.filter((F.pmod(mark, F.lit(1 << 20)) / float(1 << 20) < share[F.col("lang")]) & F.col("text").rlike(r"\p{L}"))
+    d = d.filter((F.pmod(mark, F.lit(1 << 20)) / float(1 << 20) < F.coalesce(share[F.col("lang")], F.lit(1.0))) & F.col("text").rlike(r"\p{L}"))
     at = lambda k: F.pmod(F.xxhash64(F.col("doc_id"), F.lit(k)), F.greatest(F.length("text") - SPAN, F.lit(1))).cast("int") + 1
     d = d.select("lang", mark.alias("_mark"), F.array(*[F.substring(F.col("text"), at(k), SPAN) for k in range(excerpts)]).alias("x"))
     d = d.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_mark", "x"))).filter(F.col("_rank") <= rows)
+    d = d.orderBy("_rank", "_mark", "lang").limit(MOST_ROWS)
     got = sorted((r["lang"], r["_rank"], list(r["x"])) for r in d.collect())
     return [(lang, x) for lang, _, xs in got for x in xs if x]
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import warnings
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,6 +30,7 @@ END_ID = 2
 MOST_WORDS = 750_000
 #: Bytes of text that a worker numbers at once: more have fewer different words in proportion.
 PART = 2 << 20
+#: Pricing ends after so many columns at the latest, with a warning that says how far from the least number of sequences it may be; none has needed them.
 MOST_COLUMNS = 4000
 _SPOT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -215,6 +217,10 @@ def solve(demand: dict[int, int], capacity: int, most: int = MOST_COLUMNS) -> li
         if step % 200 == 199:  # errors of many pivots
             inverse = _inverse(columns)
             x = _times(inverse, d)
+    else:
+        value = _knapsack(sizes, inverse.sum(axis=0), capacity)[0]
+        if value > 1 + 1e-7:
+            warnings.warn(f"pricing ended after {most} columns: at most {1 - 1 / value:.2%} of the sequences could be spared", stacklevel=2)
     counts = np.floor(np.maximum(x, 0) + 1e-7)
     while ((left := d - _times(columns, counts)) < -0.5).any():  # a count that rounding raised
         counts[int(np.argmax(counts * (columns[int(np.argmin(left))] > 0)))] -= 1

@@ -10,6 +10,8 @@ and a group may hold any share of them.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ LEAST_WORDS, REPEAT_PERCENT = 20, 30
 SHARE, CUTOFF = 0.75, 28.5
 #: Starts: the quantiles whose middle is the location and whose distance, over this many standard deviations, is the scale; one scale for all statistics or each its own.
 STARTS = ((0.5, 0.5, 0.25, 0.75, 1.349, False), (0.1, 0.9, 0.1, 0.9, 2.563, False), (0.5, 0.5, 0.25, 0.75, 1.349, True))
-#: Concentration ends when no logarithm of a determinant falls by more than this, or after so many steps, which none has needed.
+#: Concentration ends when no logarithm of a determinant falls by more than this, or after so many steps, with a warning; none has needed them.
 FALL, MOST_STEPS = 1e-3, 50
 #: Expected squared-distance factor for four dimensions at that share: 0.75 / P(chi2(6) <= chi2(4).quantile(0.75)).
 CONSISTENCY = 1.486
@@ -168,6 +170,9 @@ def estimates(stats: DataFrame, share: float = SHARE) -> DataFrame:
         found = found.join(nearer, ["g", "start"], "left").select("g", "start", *[F.when(better, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in new], falls.alias("falls"))
         found = spool(found, "estimates")
         unspool(last)
+    else:
+        if MOST_STEPS and found.filter("falls").take(1):
+            warnings.warn(f"determinants still fall after {MOST_STEPS} steps", stacklevel=2)
     return found.groupBy("g").agg(F.min_by(F.struct(*_M, *_C), F.struct("logdet", "start")).alias("p")).select("g", "p.*")
 
 

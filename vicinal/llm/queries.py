@@ -146,6 +146,18 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from e group by conv_id
 """
 
+#: Components by the smallest id that each document reaches.
+_OP6 = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as g from d),
+x as (select doc_id, len(g) as n, unnest(g) as g from s),
+p as (select a.doc_id as u, b.doc_id as v, any_value(a.n) as nu, any_value(b.n) as nv, count(*) as shared from x a join x b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select u, v from p where 100 * shared >= 75 * (nu + nv - shared)), e as (select u, v from l union all select v, u from l),
+r(doc_id, root) as (select doc_id, doc_id from s union select e.v, r.root from r join e on e.u = r.doc_id),
+c as (select doc_id, min(root) as component_id from r group by 1)
+select doc_id, len(g)::BIGINT as n_shingles, component_id, doc_id = component_id as kept from s join c using (doc_id)
+"""
+
 _OP9 = """
 with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
 w as (select rid, doc_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from d),
@@ -197,4 +209,4 @@ r as (select *, payload_bytes >= 1000 and last is not null and (page_id is null
 select page_id, payload_bytes, payload_digest, case when again then 'revisit' else 'response' end as record_type, case when again then last end as refers_to from r
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": _OP1, "op5_format_chat": _OP5, "op9_license_scan": _OP9, "op11_mine_phrases": _OP11, "op12_hard_negatives": _OP12, "op13_warc_archives": _OP13}
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": _OP1, "op5_format_chat": _OP5, "op6_near_duplicates": _OP6, "op9_license_scan": _OP9, "op11_mine_phrases": _OP11, "op12_hard_negatives": _OP12, "op13_warc_archives": _OP13}
