@@ -102,10 +102,10 @@ def int8_quantize(spark, sf_dir):
     return e.select("vec_id", F.col("i").cast("bigint").alias("i"), quantize_int8(F.abs(F.col("x").cast("double"))).cast("int").alias("b"))
 
 
-@_query("select event_id, (trunc(x * 254) - 127)::INT as b from (select event_id, (event_id % 201 - 100) / 200.0::DOUBLE as x from events) where x * 254 >= -1")
+@_query("select event_id, (trunc(x * 254) - 127)::INT as b from (select event_id, (event_id % 201 - 1) / 200.0::DOUBLE as x from events)")
 def int8_quantize_signed(spark, sf_dir):
-    """Of numbers on both sides of zero, as far as a byte has room: what is within one unit below zero becomes -127."""
-    x = tx.table(spark, sf_dir, "events").select("event_id", ((F.col("event_id") % 201 - 100) / 200.0).alias("x")).filter("x * 254 >= -1")
+    """Of numbers on both sides of zero, as far as a byte has room: what is within two units below zero becomes -128 or -127."""
+    x = tx.table(spark, sf_dir, "events").select("event_id", ((F.col("event_id") % 201 - 1) / 200.0).alias("x"))
     return x.select("event_id", quantize_int8(F.col("x")).cast("int").alias("b"))
 
 
