@@ -19,7 +19,7 @@ def score_payloads(payloads: DataFrame, refs: DataFrame, mode: str = "exact") ->
     return knn.classify(refs, quantized(vectorize(good)).withColumnRenamed("id", "query_id"), mode)
 
 
-def stream_scores(spark: SparkSession, source: str, refs: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "declarative", once: bool = False, rejected: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+def stream_scores(spark: SparkSession, source: str, refs: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "exact", once: bool = False, rejected: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Score JSON lines that arrive in the folder ``source``; ``sink`` gets each batch's votes, ``rejected`` its unusable payloads with their error.
 
     Ranking isn't possible on a stream itself, so it is done in ``foreachBatch``. A batch is handed over at least once, with the same number; ``sink.BatchSink``
