@@ -99,6 +99,7 @@ def _kernel(batches: Iterator[pa.RecordBatch], ids: np.ndarray, points: np.ndarr
     """
     n, far = len(ids), np.iinfo(np.int64).max
     norms = (points**2).sum(axis=1)
+    asking = np.column_stack([points, np.ones(n)])
     best = [np.full((n, k), far), np.zeros((n, k), np.int64), np.full((n, k), far)]
     most = np.full(n, far) if limit is None else limit
     for batch in batches:
@@ -118,13 +119,15 @@ def _kernel(batches: Iterator[pa.RecordBatch], ids: np.ndarray, points: np.ndarr
             at = points[asked]
             bound = (np.maximum(np.maximum(low - at, at - high), 0) ** 2).sum(axis=1)
             asked = asked[bound <= np.minimum(best[0][asked, -1], most[asked])]
-            sums = (part * part).sum(axis=1)
+            # one product gives norm - distance: whole numbers, exact in doubles
+            facing = np.column_stack([2 * part, -(part * part).sum(axis=1)]).T
             for start in range(0, len(asked), ROWS):
                 some = asked[start : start + ROWS]
-                d = np.rint(norms[some, None] + sums[None] - 2 * points[some] @ part.T).astype(np.int64)
-                better = d.min(axis=1) <= np.minimum(best[0][some, -1], most[some])
+                near = asking[some] @ facing
+                better = near.max(axis=1) >= norms[some] - np.minimum(best[0][some, -1], most[some])
                 if better.any():
-                    _improve(best, some[better], d[better], label[rows], ref[rows], k)
+                    some = some[better]
+                    _improve(best, some, (norms[some, None] - near[better]).astype(np.int64), label[rows], ref[rows], k)
     real = best[0] < far
     cols = [np.repeat(ids[:, None], k, axis=1)[real], best[2][real], best[1][real].astype(np.int32), best[0][real]]
     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_FOUND)
