@@ -67,7 +67,7 @@ def chunks(text: Column, least_bytes: int = LEAST_BYTES, least_start: int = LEAS
     """Array of (first, last, hash), lines counted from 0: chunks of two lines at local minima of the rolling hash. A text's first and last lines begin none."""
     least_start = min(least_start, least_bytes)
     size = lambda ls, i: sum((F.octet_length(F.get(ls, i + k)) for k in range(1, LINES)), F.octet_length(F.get(ls, i))) + LINES - 1
-    minimum = lambda r, x, i: (x < F.get(r, i - 1)) & (x <= F.get(r, i + 1))  # noqa: E731  never the last, which has no line after it
+    minimum = lambda r, x, i: (x < F.lit(2**63 - 1)) & (x < F.get(r, i - 1)) & (x <= F.get(r, i + 1))  # noqa: E731  never the last, which has no line after it
     rolling = lambda ls: F.transform(ls, lambda x, i: F.when(F.octet_length(x) >= least_start, F.xxhash64(x, *[F.get(ls, i + k) for k in range(1, LINES)])).otherwise(F.lit(2**63 - 1)))
     chosen = lambda ls, r: F.transform(r, lambda x, i: F.when(minimum(r, x, i) & (size(ls, i) >= least_bytes), F.struct(i.alias("first"), (i + LINES - 1).alias("last"), x.alias("hash"))))
     found = lambda ls: let(rolling(ls), lambda r: F.filter(chosen(ls, r), lambda c: c.isNotNull()))
@@ -117,7 +117,7 @@ def dedup_lines(docs: DataFrame, least_bytes: int = LEAST_BYTES, least_words: in
     texts = texts.select("_k", "_t", F.explode(let(_cut(F.col("text")), lambda ls: F.transform("marks", lambda m, i: passage(ls, m, i)))).alias("m"))
     texts = spool(texts.select("_k", "_t", "m.*"), "passages")
     ones = texts.filter("is_one").groupBy("hash").agg(*[F.min(c).alias(f"{c}1") for c in ("body", "before", "after")])
-    same = texts.filter("not is_one").join(ones, "hash").filter("body = body1")
+    same = texts.filter("not is_one").join(ones.hint("shuffle_hash"), "hash").filter("body = body1")
     equal = lambda c: F.coalesce(_run(F.col(c), F.col(f"{c}1")), F.lit(0))
     spans = same.select("_k", "_t", (F.col("first") - equal("before")).alias("first"), (F.col("last") + equal("after")).alias("last"))
     # those that touch are one
@@ -133,15 +133,17 @@ def dedup_lines(docs: DataFrame, least_bytes: int = LEAST_BYTES, least_words: in
     part = lambda ls, s: F.slice(ls, s["first"] + 1, s["last"] - s["first"] + 1)
     wide = _wide(F.col("text"))
 
-    def long(x: Column) -> Column:
-        return F.when(wide, F.length(x) >= 2 * least_words).otherwise(F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) >= least_words - 1)
+    def long(s: Column, ls: Column) -> Column:
+        """A span's lines have a word and a space each at least, so many of them need no count."""
+        x = F.array_join(part(ls, s), " ")
+        return (s["last"] - s["first"] > least_words) | F.when(wide, F.length(x) >= 2 * least_words).otherwise(F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) >= least_words - 1)
 
     def rest(ls: Column, s: Column) -> Column:
         """The lines between the spans."""
         after = lambda i: F.coalesce(F.get(s, i - 1)["last"], F.lit(-1)) + 1
         return F.flatten(F.transform(F.sequence(F.lit(0), F.size(s)), lambda i: F.slice(ls, after(i) + 1, F.coalesce(F.get(s, i)["first"], F.size(ls)) - after(i))))
 
-    runs = lambda ls: F.filter("removed", lambda s: long(F.array_join(part(ls, s), " ")))
+    runs = lambda ls: F.filter("removed", lambda s: long(s, ls))
     made = lambda ls: let(runs(ls), lambda s: let(rest(ls, s), lambda kept: F.struct(s.alias("spans"), _joined(kept, wide).alias("text"), (F.size(ls) - F.size(kept)).cast("long").alias("n"))))
     # generated, so that a filter on what comes out doesn't repeat it
     out = out.withColumn("_c", F.explode(F.array(F.when(F.col("removed").isNotNull(), let(_cut(F.col("text")), made)))))
