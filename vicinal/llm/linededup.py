@@ -100,7 +100,7 @@ def dedup_lines(docs: DataFrame, least_bytes: int = LEAST_BYTES, least_words: in
     marks = spool(marks.select("_k", "_t", F.array_sort(let(F.array_sort("m"), one)).alias("marks")), "marks")
     unspool(found)
 
-    def passage(ls: Column, m: Column, i: Column) -> Column:
+    def passage(ls: Column, m: Column, i: Column, wide: Column) -> Column:
         """A chunk's lines, and those beside it up to the next repeated chunk, or to its end where that is not to be compared too."""
         first, after = m["first"], m["first"] + LINES
 
@@ -111,20 +111,25 @@ def dedup_lines(docs: DataFrame, least_bytes: int = LEAST_BYTES, least_words: in
             return F.when(other.isNull(), most).otherwise(F.least(most, gap))
 
         before = lambda n: F.reverse(F.slice(ls, first - n + 1, n))
-        return F.struct(first.alias("first"), (after - 1).alias("last"), m["hash"].alias("hash"), m["is_one"].alias("is_one"), F.array_join(F.slice(ls, first + 1, F.lit(LINES)), " ").alias("body"), let(F.least(first, beside(i - 1)), before).alias("before"), F.slice(ls, after + 1, beside(i + 1)).alias("after"))
+        return F.struct(wide.alias("wide"), first.alias("first"), (after - 1).alias("last"), m["hash"].alias("hash"), m["is_one"].alias("is_one"), F.array_join(F.slice(ls, first + 1, F.lit(LINES)), " ").alias("body"), let(F.least(first, beside(i - 1)), before).alias("before"), F.slice(ls, after + 1, beside(i + 1)).alias("after"))
 
     texts = keyed.select("_k", "_t", "text").join(marks.hint("shuffle_hash"), ["_k", "_t"])
-    texts = texts.select("_k", "_t", F.explode(let(_cut(F.col("text")), lambda ls: F.transform("marks", lambda m, i: passage(ls, m, i)))).alias("m"))
+    texts = texts.select("_k", "_t", F.explode(let(_wide(F.col("text")), lambda wide: let(_cut(F.col("text")), lambda ls: F.transform("marks", lambda m, i: passage(ls, m, i, wide))))).alias("m"))
     texts = spool(texts.select("_k", "_t", "m.*"), "passages")
     ones = texts.filter("is_one").groupBy("hash").agg(*[F.min(c).alias(f"{c}1") for c in ("body", "before", "after")])
     same = texts.filter("not is_one").join(ones.hint("shuffle_hash"), "hash").filter("body = body1")
     equal = lambda c: F.coalesce(_run(F.col(c), F.col(f"{c}1")), F.lit(0))
-    spans = same.select("_k", "_t", (F.col("first") - equal("before")).alias("first"), (F.col("last") + equal("after")).alias("last"))
+    same = same.select("_k", "_t", "wide", "first", "last", "body", "before", "after", equal("before").alias("up"), equal("after").alias("down"))
+    gone = F.array_join(F.concat(F.slice("before", F.lit(1), F.col("up")), F.array("body"), F.slice("after", F.lit(1), F.col("down"))), " ")
+    size = let(gone, lambda x: F.when(F.col("wide"), F.length(x)).otherwise(F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))))) + 1
+    spans = same.select("_k", "_t", "wide", (F.col("first") - F.col("up")).alias("first"), (F.col("last") + F.col("down")).alias("last"), size.alias("size"))
     # those that touch are one
     by = Window.partitionBy("_k", "_t").orderBy("first", "last")
     upto = F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("_new", F.coalesce(F.col("first") > upto + 1, F.lit(True)).cast("int")).withColumn("_g", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    spans = spans.groupBy("_k", "_t", "_g").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    spans = spans.groupBy("_k", "_t", "wide", "_g").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("size").alias("size"))
+    # lines that overlap are counted twice here: what is too short even so needs no second cut
+    spans = spans.filter(F.col("size") >= F.when(F.col("wide"), 2 * least_words + 1).otherwise(least_words))
     spans = spool(spans.groupBy("_k", "_t").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("removed")), "cuts")
     for table in (marks, texts):
         unspool(table)
