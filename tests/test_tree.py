@@ -101,3 +101,33 @@ def test_bounds():
     q = rng.integers(-10000, 10000, (30, 14)).astype(float)
     want = [[sum(max(lo - x, x - hi, 0) ** 2 for x, lo, hi in zip(a, b, c, strict=True)) for b, c in zip(low, high, strict=True)] for a in q]
     assert (tree._bounds(q, low, high) == np.array(want)).all()
+
+
+def test_validation_of_files(spark, tmp_path):
+    import json
+    import random
+
+    from tests.test_engine import payload, plain_quantize, plain_vector
+    from vicinal.sources import build, validate
+
+    rng = random.Random(5)
+    rows = [{"vector": [round(max(0.0, min(1.0, x + rng.gauss(0, 0.05))), 4) for x in plain_vector(dict(payload(rng, i), last_transaction=None))[:5]] + [-1, -1] + [round(rng.random(), 4) for _ in range(7)], "label": rng.choice(["fraud", "legit"])} for i in range(300)]
+    (tmp_path / "r.json").write_text(json.dumps(rows))
+    assert build.main(["--in", f"file://{tmp_path}/r.json", "--out", f"{tmp_path}/tree", "--tree", "--range-bytes", "4000"]) == 300
+    assert build.main(["--in", f"{tmp_path}/r.json", "--out", f"{tmp_path}/flat"]) == 300
+    asked = [payload(rng, i % 40) for i in range(60)]  # ids repeat
+    want = [rng.random() < 0.5 for _ in asked]
+    (tmp_path / "p.json").write_text(json.dumps({"entries": [{"request": p, "expected_approved": w} for p, w in zip(asked, want, strict=True)]}))
+    refs = [([plain_quantize(x) for x in r["vector"]], int(r["label"] == "fraud"), i) for i, r in enumerate(rows)]
+    got = []
+    for p in asked:
+        q = [plain_quantize(x) for x in plain_vector(p)]
+        near = sorted((sum((a - b) ** 2 for a, b in zip(q, v, strict=True)), label, i) for v, label, i in refs)[:5]
+        got.append(sum(x[1] for x in near) < 3)
+    fp, fn = sum(w and not g for g, w in zip(got, want, strict=True)), sum(g and not w for g, w in zip(got, want, strict=True))
+    for index, mode in (("tree", "tree"), ("flat", "exact")):
+        out = validate.main(["--index", f"{tmp_path}/{index}", "--payloads", f"{tmp_path}/p.json", "--mode", mode])
+        assert (out["fp"], out["fn"], out["tp"] + out["tn"], out["weighted"]) == (fp, fn, 60 - fp - fn, fp + 3 * fn)
+    (tmp_path / "bad.json").write_text(json.dumps({"entries": [{"request": {"id": "x"}, "expected_approved": True}]}))
+    with pytest.raises(ValueError, match="payload x: transaction.amount"):
+        validate.main(["--index", f"{tmp_path}/tree", "--payloads", f"{tmp_path}/bad.json"])
