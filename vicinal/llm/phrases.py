@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from vicinal.llm.common import parts, ship, spool, unspool
 
 #: Words of a shard: a task holds some 200 bytes for each.
-SHARD = 500_000
+SHARD = 250_000
 #: Bits of the Bloom filter; it is broadcast, 16 MB.
 _LOG = 27
 BITS = 1 << _LOG
