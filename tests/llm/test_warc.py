@@ -126,3 +126,22 @@ def test_inflating_is_bounded():
     with pytest.raises(warc.WarcError, match="no end"):
         s.head()
     assert len(s.held) <= warc.MOST_HEAD + warc.PIECE
+
+
+def test_a_failure_is_no_result(spark, tmp_path, monkeypatch):
+    (tmp_path / "out").mkdir()
+    with pytest.raises(OSError):  # not a row of the index
+        list(warc.normalise_archive(f"file://{tmp_path}/none.warc.gz", f"file://{tmp_path}/out/a.warc.gz"))
+    cut = warc.write_monolith
+
+    def broken(batches, folder):
+        for rows in cut(batches, folder):
+            for path in rows.column(0).to_pylist():
+                at = path.removeprefix("file://")
+                raw = open(at, "rb").read()
+                open(at, "wb").write(raw[: len(raw) // 2])
+            yield rows
+
+    monkeypatch.setattr(warc, "write_monolith", broken)
+    with pytest.raises(warc.WarcError, match="ends within a member"):
+        warc.write_archives(spark.createDataFrame(pages(4, 20), SCHEMA))

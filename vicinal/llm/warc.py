@@ -181,7 +181,7 @@ def write_monolith(batches: Iterator[pa.RecordBatch], folder: str, roll: int = R
 def normalise_archive(path: str, target: str) -> Iterator[tuple]:
     """Rewrite the archive at ``path`` as ``target``, a member for each record, and ``target``.idx, a line of JSON for each; gives the rows of the index.
 
-    A stream that is not sound gives a last row with the error; the whole records before it are kept.
+    A stream that is not sound gives a last row with the error; the whole records before it are kept. A file that can't be read or written ends the task.
     """
     (fs, at), (to_fs, to) = _opened(path), _opened(target)
     with to_fs.open_output_stream(to, compression=None) as out, to_fs.open_output_stream(f"{to}.idx", compression=None) as idx:
@@ -200,7 +200,7 @@ def normalise_archive(path: str, target: str) -> Iterator[tuple]:
                     idx.write(json.dumps(row).encode() + b"\n")
                     yield (target, *row.values(), None)
                     offset += size
-        except (WarcError, OSError) as e:
+        except WarcError as e:
             yield (target, None, None, None, None, f"{path}: {e}")
 
 
@@ -324,6 +324,10 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> tuple[DataFra
     folder = folder or fresh(spark, "archives", make=True)
     files = spool(plan_revisits(pages).mapInArrow(lambda it: write_monolith(it, raw), _FILE), "files")
     index = normalise(files, folder)
+    wrote, broken = files.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], index.filter("error is not null").select("error").take(1)
+    kept = index.filter(F.col("record_type").isin("response", "revisit")).count()
+    if broken or kept != wrote:  # these archives are ours: what is lost here is no result
+        raise WarcError(broken[0]["error"] if broken else f"{wrote} records were written, {kept} are in the index")
     unspool(files)
     delete(spark, raw)
     return index, folder
