@@ -131,3 +131,34 @@ def test_validation_of_files(spark, tmp_path):
     (tmp_path / "bad.json").write_text(json.dumps({"entries": [{"request": {"id": "x"}, "expected_approved": True}]}))
     with pytest.raises(ValueError, match="payload x: transaction.amount"):
         validate.main(["--index", f"{tmp_path}/tree", "--payloads", f"{tmp_path}/bad.json"])
+
+
+def test_boxes_of_boxes_reach_the_same_leaves(spark):
+    """A query compares itself with a part of the boxes only, and finds what all boxes give."""
+    rng = np.random.default_rng(3)
+    low = (rng.integers(-9000, 9000, (30, 14))[np.arange(3000) % 30] + rng.integers(-300, 300, (3000, 14))).astype(float)
+    high = low + rng.integers(0, 900, (3000, 14))
+    boxes = tree.Boxes(["n"] * 3000, np.arange(3000, dtype=np.int32), np.arange(3000) % 3, low, high)
+    q = low[:40] + rng.integers(-500, 500, (40, 14))
+    bound = tree._bounds(q, low, high)
+    limits = np.sort(bound, axis=1)[:, 9]
+    compared = []
+    count = boxes._pairs
+    boxes._pairs = lambda level, points, who, box: compared.append(len(who)) or count(level, points, who, box)
+    who, leaf, _ = boxes.within(q.T, limits)
+    assert sorted(zip(who.tolist(), leaf.tolist(), strict=True)) == sorted(zip(*(x.tolist() for x in np.nonzero(bound <= limits[:, None])), strict=True))
+    assert sum(compared) < 40 * 3000
+    assert (boxes.one(q.T) >= bound.min(axis=1)).all() and (boxes.one(q.T)[:, None] == bound).any(axis=1).all()
+
+
+def test_many_queries_grow_a_tree(spark, monkeypatch):
+    refs = generators.points(spark, 2500, clustered=True).cache()
+    queries = generators.queries(refs, 400)
+    few = {m: sorted(map(tuple, knn.classify(refs, queries, m).collect())) for m in ("exact", "fast")}
+    monkeypatch.setattr(knn, "FEW_BYTES", 100)
+    monkeypatch.setattr(knn, "neighbours_partitioned", None)
+    monkeypatch.setattr(tree, "VISITS", 50)
+    many = {m: sorted(map(tuple, knn.classify(refs, queries, m).collect())) for m in ("exact", "pruned", "fast")}
+    assert many == {**few, "pruned": few["exact"]}
+    fast, exact = knn.fast_and_exact(refs, queries)
+    assert [sorted(map(tuple, d.collect())) for d in (fast, exact)] == [many["fast"], many["exact"]]
