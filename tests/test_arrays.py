@@ -2,6 +2,7 @@ import gzip
 import json
 import random
 
+import pyarrow as pa
 import pytest
 
 from vicinal.sources import arrays
@@ -115,3 +116,50 @@ def test_references_by_ranges(spark, tmp_path):
     parts = read_references(spark, f"file://{tmp_path}/r.json", range_bytes=500)
     key = lambda d: sorted((r["ref_id"], r["vector"], r["label"]) for r in d.collect())
     assert key(parts) == key(whole)
+
+
+def test_small_ranges_read_no_more_than_the_file(spark, tmp_path, monkeypatch):
+    """What ranges read, and the tasks they are dealt to, grow with the file and not with the number of ranges."""
+    rows = [{"id": i, "s": "a" * (i % 90)} for i in range(20000)]
+    (tmp_path / "a.json").write_text(json.dumps(rows))
+    path, size = f"file://{tmp_path}/a.json", (tmp_path / "a.json").stat().st_size
+    starts = range(0, size, 1 << 16)
+    pieces, got = arrays._Bytes.pieces, []
+
+    def counted(self, *where):
+        for b in pieces(self, *where):
+            got.append(len(b))
+            yield b
+
+    monkeypatch.setattr(arrays._Bytes, "pieces", counted)
+    ranges = [arrays._summary(path, 0, s, min(size, s + (1 << 16))) for s in starts]
+    assert sum(got) < 1.2 * size
+    got.clear()
+    names = [c.split(" ")[0] for c in arrays.RANGES.split(", ")]
+    table = pa.Table.from_pylist([dict(zip(names, [*x[:8], [list(m.items()) for m in x[8]], [list(m.items()) for m in x[9]]], strict=True)) for x in ranges])
+    assert [json.loads(x[2]) for s in arrays._starts(table).to_pylist() for x in arrays._records(**s)] == rows and sum(got) < 1.2 * size
+    monkeypatch.undo()
+    d = arrays.read_array_texts(spark, path, 4096)
+    assert d.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism < size / 4096 / 16
+    assert len(arrays._RangeReader({"path": path, "rangebytes": 4096, "tasks": 4}).partitions()) <= 4
+    assert d.count() == len(rows)
+
+
+def test_runs_hold_every_range_once(tmp_path, monkeypatch):
+    monkeypatch.setattr(arrays, "RANGE", 1000)
+    for i, n in enumerate([0, 999, 1, 12345, 0, 500]):
+        (tmp_path / f"{i}.json").write_bytes(b" " * n)
+    (tmp_path / "2.json.gz").write_bytes(b" " * 700)
+    for tasks, size in ((1, 64), (3, 64), (100, 64), (3, 5000)):
+        runs = arrays._runs(f"file://{tmp_path}", size, tasks)
+        ranges = [r for run in runs for r in run]
+        assert sum((700 if z is None else z) - a for _, _, a, z in ranges) == 999 + 1 + 12345 + 500 + 700
+        assert len({(f, a) for _, f, a, _ in ranges}) == len(ranges) and {f for _, f, _, _ in ranges} == set(range(7))
+        assert all(sum((700 if z is None else z) - a for _, _, a, z in run) < 1000 + size for run in runs)
+
+
+def test_records_longer_than_ranges_and_steps(spark, tmp_path):
+    rows = [{"id": i, "s": 'é"{' * n, "v": [], "o": {"x": "", "y": {"z": i}}} for i, n in enumerate([0, 20000, 1, 3000, 50000, 2])]
+    (tmp_path / "a.json").write_text(json.dumps(rows))
+    for size in (300, 5000):
+        assert [(x[0], x[2]) for x in got(spark, tmp_path / "a.json", size)] == [(i, r["s"]) for i, r in enumerate(rows)]

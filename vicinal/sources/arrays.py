@@ -2,8 +2,9 @@
 
 A byte range of such a file doesn't tell whether it starts within a string or a record. So a data source lists the ranges of the files and
 gives a row for each: how braces and brackets go in it if it starts outside a string, and if it starts inside one. Put
-together in order, file by file, these rows tell how each range starts. Then ranges are read again, each by its own task, which
-takes the records that start there and reads on to the end of the last one.
+together in order, file by file, these rows tell how each range starts. Then ranges are read again: each one's records that start
+there, and on to the end of the last one. Ranges may be small: a task takes so many of them that tasks don't grow in number as ranges do, and what
+lies beyond a range is read in small steps.
 
 Between records white space and commas are skipped, also repeated ones; anything else there is an error, and so is an end without the closing
 bracket. What comes after it is not looked at. Compressed files are one range. Paths are URIs that ``pyarrow.fs`` knows.
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Bytes of a range, and of the pieces in which it is read.
-RANGE, PIECE = 32 << 20, 4 << 20
+#: Bytes of a range, which are also those of a task's ranges together if these are smaller; bytes of the pieces in which a range is read, and of the first piece after it.
+RANGE, PIECE, BEYOND = 32 << 20, 4 << 20, 4 << 10
 _LEVELS = "map<int,long>"
 #: For both ways that a range may start: the strings' parity at its end, the change of depth, and by depth relative to the start how many records
 #: start there and where the first bracket closes.
@@ -61,20 +62,28 @@ def _files(path: str) -> list[tuple[str, int]]:
 
 
 class _Bytes:
-    """Pieces of a file from ``start``; a compressed file starts at 0 only."""
+    """Pieces of a file from ``start``; a compressed file starts at 0 only. One piece ends at ``upto``, and from there on they are small first."""
 
     def __init__(self, path: str):
         self.fs, self.at = _opened(path)
         self.packed = path.endswith(".gz")
 
-    def pieces(self, start: int) -> Iterator[np.ndarray]:
+    def pieces(self, start: int, upto: int | None = None) -> Iterator[np.ndarray]:
         with self.fs.open_input_stream(self.at, compression="gzip") if self.packed else self.fs.open_input_file(self.at) as f:
             if not self.packed:
                 f.seek(start)
-            while self.packed and start and (skipped := f.read(min(start, PIECE))):
-                start -= len(skipped)
-            while piece := f.read(PIECE):
+            left = start
+            while self.packed and left and (skipped := f.read(min(left, PIECE))):
+                left -= len(skipped)
+            at, beyond = start, BEYOND
+            while True:
+                within = PIECE if upto is None else min(PIECE, upto - at)
+                if within <= 0:
+                    within, beyond = min(PIECE, beyond), beyond * 2
+                if not (piece := f.read(within)):
+                    return
                 yield np.frombuffer(piece, np.uint8)
+                at += len(piece)
 
     def escaped(self, start: int) -> bool:
         """Whether an odd number of backslashes stands before ``start``."""
@@ -124,10 +133,8 @@ def _summary(path: str, file: int, start: int, stop: int | None) -> tuple:
     source = _Bytes(path)
     escaped, quoted, depth = source.escaped(start), [False, True], [0, 0]
     opened, closed, first, first_byte, at = [{}, {}], [{}, {}], None, None, start
-    for b in source.pieces(start):
-        if stop is not None:
-            b = b[: stop - at]
-        if not len(b):
+    for b in source.pieces(start, stop):
+        if at == stop:
             break
         if first is None and len(solid := np.flatnonzero(~_SPACE[b])):
             first, first_byte = at + int(solid[0]), int(b[solid[0]])
@@ -145,29 +152,44 @@ def _summary(path: str, file: int, start: int, stop: int | None) -> tuple:
     return path, file, start, stop, first, first_byte, [int(q) for q in quoted], depth, opened, closed
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, file: int, start: int, stop: int | None):
-        self.path, self.file, self.start, self.stop = path, file, start, stop
+def _runs(path: str, size: int, tasks: int) -> list[list[tuple[str, int, int, int | None]]]:
+    """The ranges, of ``size`` bytes, of the files at ``path`` as (path, file, start, stop), by task: ``tasks`` shares, or more if these are of over ``RANGE``. A compressed file is a share."""
+    files = _files(path)
+    share = min(RANGE, ceil(sum(n for _, n in files) / tasks))
+    out, run, held = [], [], 0
+    for file, (at, n) in enumerate(files):
+        if at.endswith(".gz"):
+            out.append([(at, file, 0, None)])
+            continue
+        for start in range(0, max(1, n), size):
+            stop = min(n, start + size)
+            run.append((at, file, start, stop))
+            held += stop - start
+            if held >= share:
+                out.append(run)
+                run, held = [], 0
+    return [*out, run] if run else out
+
+
+class _Ranges(InputPartition):
+    def __init__(self, run: list[tuple[str, int, int, int | None]]):
+        self.run = run
 
 
 class _RangeReader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.size = options["path"], int(options.get("rangebytes", RANGE))
+        self.path, self.size, self.tasks = options["path"], int(options.get("rangebytes", RANGE)), int(options.get("tasks", 1))
 
     def partitions(self):
-        out = []
-        for file, (path, size) in enumerate(_files(self.path)):
-            starts = [0] if path.endswith(".gz") else range(0, max(1, size), self.size)
-            out += [_Range(path, file, s, None if path.endswith(".gz") else min(size, s + self.size)) for s in starts]
-        return out or [_Range("", 0, 0, 0)]
+        return [_Ranges(run) for run in _runs(self.path, self.size, self.tasks)] or [_Ranges([])]
 
     def read(self, partition):
-        if partition.path:
-            yield _summary(partition.path, partition.file, partition.start, partition.stop)
+        for r in partition.run:
+            yield _summary(*r)
 
 
 class JsonArrayRanges(DataSource):
-    """``spark.read.format("json_array_ranges").option("rangeBytes", n).load(path)``: a row for each byte range, a task for each row."""
+    """``spark.read.format("json_array_ranges").option("rangeBytes", n).option("tasks", k).load(path)``: a row for each byte range, read by ``k`` tasks, or more if these have over ``RANGE`` bytes."""
 
     @classmethod
     def name(cls):
@@ -211,7 +233,7 @@ def _records(path: str, file: int, start: int, stop: int | None, quoted: bool, d
     escaped = source.escaped(start)
     last = upto if stop is None else stop if upto is None else min(stop, upto)
     at, held, since = start, [], None  # the open record's bytes so far, and where it starts
-    for b in source.pieces(start):
+    for b in source.pieces(start, last):
         if depth == 0 and last is not None and at >= last:
             return
         where, kind, step, quoted, escaped = _marks(b, quoted, escaped)
@@ -219,16 +241,12 @@ def _records(path: str, file: int, start: int, stop: int | None, quoted: bool, d
         begins, ends = where[(after == 1) & (step == 1)], where[(after == 0) & (step == -1)] + 1
         if (after < 0).any() and (last is None or at + where[np.argmax(after < 0)] < last):
             raise ValueError(f"{path}: a brace closes nothing at {at + int(where[np.argmax(after < 0)])}")
-        # bytes between records, as far as this range goes
-        between = np.ones(len(b), bool)
-        inside = np.zeros(len(b) + 1, np.int32)
-        np.add.at(inside, begins, 1)
-        np.add.at(inside, ends, -1)
-        between = np.cumsum(inside[:-1]) + (depth > 0) == 0
-        if last is not None:
-            between[max(0, last - at) :] = False
-        odd = np.flatnonzero(between & ~_SKIPPED[b])
-        if len(odd):
+        # bytes between records, as far as this range goes: records begin and end in turn
+        left = ends if depth > 0 else np.append(0, ends)
+        size = np.append(begins, len(b))[: len(left)] - left
+        between = np.arange(size.sum()) + np.repeat(left - np.cumsum(size) + size, size)
+        odd = between[~_SKIPPED[b[between]]]
+        if len(odd) and (last is None or at + odd[0] < last):
             raise ValueError(f"{path}: unexpected {chr(b[odd[0]])!r} at {at + int(odd[0])}")
         raw = b.tobytes()
         if depth > 0:  # what is open is ours only if it started here
@@ -275,10 +293,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_array_texts(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
     """(path, file, place, offset, value): each record of the arrays at ``path`` as text, with the file's number, its own within the file, and the byte where it starts."""
     spark.dataSource.register(JsonArrayRanges)
-    ranges = spark.read.format("json_array_ranges").option("rangeBytes", range_bytes).load(path)
+    cores = spark.sparkContext.defaultParallelism
+    ranges = spark.read.format("json_array_ranges").option("rangeBytes", range_bytes).option("tasks", cores).load(path)
     starts = ranges.groupBy("path").applyInArrow(_starts, _STARTS)
-    tasks = max(spark.sparkContext.defaultParallelism, ceil(sum(1 if p.endswith(".gz") else max(1, ceil(n / range_bytes)) for p, n in _files(path)) / 4))
-    return starts.repartition(tasks).mapInArrow(_read, _RECORDS)
+    return starts.repartition(max(cores, len(_runs(path, range_bytes, cores)))).mapInArrow(_read, _RECORDS)
 
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str, range_bytes: int = RANGE) -> DataFrame:
