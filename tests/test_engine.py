@@ -350,3 +350,22 @@ def test_nearest_vectors_in_blocks(spark, monkeypatch, copies):
     each = ivf.search_each(a, c, q, (1, 3, 6)).collect()
     for n in (1, 3, 6):
         assert sorted((r["query_id"], r["id"], r["rank"]) for r in each if r["probes"] == n) == sorted((r["query_id"], r["id"], r["rank"]) for r in ivf.search(a, c, q, probes=n).collect())
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+@pytest.mark.parametrize("mode", ["exact", "pruned", "fast"])
+def test_payloads_by_ids_of_any_text(spark, payloads, tmp_path, monkeypatch, few, mode):
+    """Many queries go down a tree, few don't; ids are no numbers, and repeat."""
+    monkeypatch.setattr(knn, "FEW_BYTES", few)
+    refs = generators.points(spark, 400)
+    asked = [{**p, "id": f"tx-{i // 2}"} for i, p in enumerate(payloads[:30])]
+    (tmp_path / "p.json").write_text("\n".join(map(json.dumps, asked)))
+    got = score_payloads(readers.read_payloads(spark, str(tmp_path / "p.json"), lines=True), refs, mode)
+    assert got.columns == ["query_id", "frauds", "approved", "fraud_score"]
+    want = []
+    rows = [(r["label"], r["ref_id"], np.array([r[q] for q in Q], int)) for r in refs.collect()]
+    for p in asked:
+        at = np.array([plain_quantize(x) for x in plain_vector(p)])
+        want.append((p["id"], sum(n[1] for n in sorted((int(((x - at) ** 2).sum()), label, ref) for label, ref, x in rows)[:5])))
+    got = sorted((r["query_id"], r["frauds"]) for r in got.collect())
+    assert got == sorted(want) if mode != "fast" else [x[0] for x in got] == sorted(x[0] for x in want)
