@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +162,36 @@ def test_many_queries_grow_a_tree(spark, monkeypatch):
     fast, exact = knn.fast_and_exact(refs, queries)
     assert {m: sorted(map(tuple, d.collect())) for m, d in (("exact", exact), ("fast", fast))} == few
     assert sorted(map(tuple, knn.classify(refs, queries, "pruned").collect())) == few["exact"]
+
+
+def test_rounds_visit_each_leaf_once_and_the_first_one_is_found_by_few_boxes():
+    rng = np.random.default_rng(5)
+    low = rng.integers(-9000, 9000, (3000, 14)).astype(float)
+    high = low + rng.integers(0, 5000, (3000, 14))
+    boxes = tree.Boxes(["n"] * 3000, np.arange(3000, dtype=np.int32), np.arange(3000) % 3, low, high)
+    q = rng.integers(-9000, 9000, (40, 14))
+    limits = np.sort(tree._bounds(q, low, high), axis=1)[:, 99].astype(np.int64)
+    compared = []
+    count = boxes._pairs
+    boxes._pairs = lambda level, points, who, box: compared.append(len(who)) or count(level, points, who, box)
+
+    def visited(limits, seen, more):
+        b = pa.RecordBatch.from_arrays([pa.array(np.arange(40)), pa.array(limits), *[pa.array(q[:, i]) for i in range(14)]], names=["query_id", "limit", *tree.Q])
+        return [(i, x) for v in tree._visits(iter([b]), boxes, seen, more, some_first=True) for i, n in zip(v["query_id"].to_pylist(), v["leaves"].to_pylist(), strict=True) for x in n]
+
+    one = visited(np.full(40, tree.FAR), 0, 1)
+    assert [i for i, _ in one] == list(range(40)) and sum(compared) < 40 * 150
+    every = one + visited(limits, 1, 4) + visited(limits, 5, None)
+    assert len(every) == len(set(every))
+    within = set(zip(*(x.tolist() for x in np.nonzero(tree._bounds(q, low, high) <= limits[:, None])), strict=True))
+    assert within <= set(every) <= within | set(one)
+
+
+def test_what_is_made_of_payloads_is_built_by_small_methods(spark, monkeypatch):
+    from vicinal.plans import transactions as tx
+
+    name, seen = "spark.sql.codegen.hugeMethodLimit", []
+    monkeypatch.setattr(tx, "written", lambda df, n: seen.append(spark.conf.get(name)) or df)
+    before = spark.conf.get(name)
+    refs, _ = tx.search_sets(spark, "/root/testdata/sf0.001")
+    assert seen == ["8000"] and spark.conf.get(name) == before and "part_key" in refs.columns
