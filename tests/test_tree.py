@@ -195,3 +195,10 @@ def test_what_is_made_of_payloads_is_built_by_small_methods(spark, monkeypatch):
     before = spark.conf.get(name)
     refs, _ = tx.search_sets(spark, "/root/testdata/sf0.001")
     assert seen == ["8000"] and spark.conf.get(name) == before and "part_key" in refs.columns
+
+
+def test_validation_asks_for_every_payload(spark):
+    from vicinal.plans import catalog, transactions as tx
+
+    r = catalog.QUERIES["validation_run"](spark, "/root/testdata/sf0.001").first()
+    assert sum(r[c] for c in ("tp", "tn", "fp", "fn")) == tx.payloads(spark, "/root/testdata/sf0.001").count()
